@@ -248,10 +248,11 @@ def remove_repeated(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id"
         return stage(answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "bits")).alias(name)), name)
 
     said = gathered(chunks.select("chunk", "begin", "body").mapInArrow(_ask_anchors(width, shards), _ASK1), _sketch_answers, "said")
-    judged = chunks.join(said, "chunk", "left")
+    # One way at every size: were small answers broadcast, the exchange of chunks would only begin with larger inputs.
+    judged = chunks.join(said.hint("merge"), "chunk", "left")
     exact = gathered(judged.select("chunk", "begin", "body", "said").mapInArrow(_ask_windows(width, shards), _ASK2), _exact_answers, "exact")
     run, schema = _kept(width, shards)
-    return judged.join(exact, "chunk", "left").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return judged.join(exact.hint("merge"), "chunk", "left").mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
