@@ -40,7 +40,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = pa.Table.from_batches([batch])
+        rows = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
         if last is not None:
             rows = pa.concat_tables([last, rows]).combine_chunks()
         fresh = np.ones(rows.num_rows, bool)
@@ -48,7 +48,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh[1:] = ~pc.and_(pc.and_(*same[:2]), same[2]).to_numpy(zero_copy_only=False).astype(bool)
         at = np.flatnonzero(fresh)
         total = np.add.reduceat(rows["n"].to_numpy(), at)
-        merged = rows.take(pa.array(at)).set_column(rows.column_names.index("n"), "n", pa.array(total, pa.int64()))
+        merged = rows.take(pa.array(at)).drop_columns("n").append_column("n", pa.array(total, pa.int64()))
         yield from merged.slice(0, len(at) - 1).combine_chunks().to_batches()
         last = merged.slice(len(at) - 1)
     if last is not None:

@@ -14,10 +14,14 @@ send single shingles too, in a name space of their own.
 
 Candidates are held against each other's sizes and sketches, and what is left
 against the sets themselves. Blocks with few documents give all their pairs.
-Blocks with many give pairs with a pivot; after those are settled, only pairs
-across components are still open, and they are sought inside blocks of bounded
-size by their sketches. Nothing is capped: each pair of different texts that
-the pigeonhole finds is linked, known to be connected, or refuted.
+Blocks with many give pairs with a pivot. After those are settled, only pairs
+across components are still open. Large blocks whose most frequent component is
+the same have mostly the same members, so they are taken together, and their
+members are held against each other by longer sketches, in tiles of bounded
+size: first the pairs of a least spanning forest of each tile, which connect
+what is linked, then all pairs between components still apart that the sketches
+allow. Nothing is capped: each pair of different texts that the pigeonhole
+finds is linked, known to be connected, or refuted.
 """
 
 from __future__ import annotations
@@ -39,9 +43,11 @@ from tidemill.staging import parallelism, stage
 #: A link: 100 * intersection >= SHARE * union.
 SHARE = 75
 #: Documents that a block may have for all its pairs to be taken at once.
-SMALL_RUN = 16
+SMALL_RUN = 24
 #: Members of a larger block that are held against each other in a task, on average.
 TILE = 2048
+#: Times the bits of a sketch, in tiles.
+LONGER = 4
 #: 64-bit words of the filter of ids; 8 MB.
 FILTER_WORDS = 1 << 20
 
@@ -168,14 +174,14 @@ def _join(share: int):
     return run
 
 
-def _sketch(width: int, id_col: str, text_col: str):
-    """id, n and a parity sketch of 2n to 4n bits, a power of two and 64 at least."""
+def _sketch(width: int, id_col: str, text_col: str, times: int = 1, asked=None):
+    """id, n and a parity sketch of 2n to 4n bits or ``times`` as many, a power of two and 64 at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, piece in pieces(batches, text_col):
+        for rows, piece in pieces(_asked(batches, id_col, asked), text_col):
             sets = shingle_sets(piece, width)
             n = sets.sizes()
-            bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+            bits = times * np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
             base = np.concatenate([[0], np.cumsum(bits)])
             owner = np.repeat(np.arange(len(n)), n)
             at = base[owner] + (sets.hash & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -219,55 +225,87 @@ def _hamming(share: int):
     return run
 
 
-def _tile(share: int):
-    """Pairs across components inside a tile that their sketches allow."""
+def _tile(share: int, nearest: bool):
+    """Pairs across components inside a tile that their sketches allow; or a least spanning forest of them."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["id"]).sort_values(["n", "id"])
-        i_side, j_side = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        rows = rows.sort_values(["n", "id"])
+        two_sides = int(rows["i"].iloc[0]) != int(rows["j"].iloc[0])
         ids, n, label, block = (rows[c].to_numpy() for c in ("id", "n", "label", "block"))
-        words = np.array([len(s) // 8 for s in rows["sketch"]])
         sketches = rows["sketch"].to_numpy()
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        words = np.array([len(s) // 8 for s in sketches])
+        held: dict[int, tuple[int, np.ndarray]] = {}
         for w in np.unique(words):
             # Rows from w words on, ascending as n is; those of more words are folded.
-            lo = int(np.searchsorted(words, w))
-            hi = int(np.searchsorted(words, 4 * w, side="right"))
-            held[w] = (lo, np.concatenate([_fold(np.frombuffer(s, np.uint64)[None, :], w) for s in sketches[lo:hi]]))
-        out = []
+            lo, hi = np.searchsorted(words, w), np.searchsorted(words, 2 * w, side="right")
+            held[w] = (int(lo), np.concatenate([_fold(np.frombuffer(s, np.uint64)[None, :], w) for s in sketches[lo:hi]]))
         top = np.searchsorted(n, n * 100 // share, side="right")
+        found = []
         for i in range(len(ids)):
             lo, folded = held[words[i]]
             others = np.arange(i + 1, top[i])
-            others = others[label[others] != label[i]]
-            if i_side != j_side:
-                others = others[block[others] != block[i]]
+            apart = label[others] != label[i]
+            if two_sides:
+                apart &= block[others] != block[i]
+            others = others[apart]
             if len(others):
                 h = np.bitwise_count(folded[others - lo] ^ folded[i - lo]).sum(axis=1).astype(np.int64)
-                ok = _passes(h, n[i], n[others], share)
-                if ok.any():
-                    x, y = ids[i], ids[others[ok]]
-                    out.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "h": h[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "h": []}).astype("int64")
+                ok = np.flatnonzero(_passes(h, n[i], n[others], share))
+                found.append(np.stack([np.full(len(ok), i), others[ok], h[ok]]))
+        i, j, h = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        if nearest:
+            tree = _forest(np.unique(label, return_inverse=True)[1], i, j, h / (n[i] + n[j]))
+            i, j, h = i[tree], j[tree], h[tree]
+        swap = ids[i] > ids[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "h": h, "ca": label[i], "cb": label[j]})
 
     return run
 
 
-def _sets(width: int, id_col: str, text_col: str, bits):
-    """id and set of each document whose id may be among those asked for."""
+def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Which pairs make a least spanning forest (Kruskal), members of a component being joined from the start."""
+    order, root, tree, step, at = np.argsort(cost, kind="stable"), np.arange(label.max(initial=-1) + 1), [], 1024, 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = bits.value
-        for batch in batches:
-            ids = batch.column(id_col).to_numpy()
-            asked = np.ones(len(ids), bool)
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    while at < len(order):
+        part = order[at : at + step]
+        flat = np.array([top(x) for x in range(len(root))], np.int64)
+        apart = part[flat[label[i[part]]] != flat[label[j[part]]]]
+        for k in apart.tolist():
+            a, b = top(label[i[k]]), top(label[j[k]])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                tree.append(k)
+        at, step = at + step, step * 2
+    return np.array(tree, np.int64)
+
+
+def _asked(batches: Iterator[pa.RecordBatch], id_col: str, bits) -> Iterator[pa.RecordBatch]:
+    """Rows whose id may be among those asked for: all that are, and few others."""
+    for batch in batches:
+        if bits is not None:
+            ids, keep = batch.column(id_col).to_numpy(), np.ones(batch.num_rows, bool)
             for k in (0, 1):
                 word, bit = _spot(ids, k)
-                asked &= (held[word] >> bit & np.uint64(1)).astype(bool)
-            for rows, piece in pieces(iter([batch.filter(pa.array(asked))]), text_col):
-                s = shingle_sets(piece, width)
-                whole, first = s.hash.tobytes(), s.first.tolist()
-                yield pa.RecordBatch.from_arrays([rows.column(id_col), pa.array([whole[8 * a : 8 * b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "members"])
+                keep &= (bits.value[word] >> bit & np.uint64(1)).astype(bool)
+            batch = batch.filter(pa.array(keep))
+        yield batch
+
+
+def _sets(width: int, id_col: str, text_col: str, asked):
+    """id and set of each document whose id may be among those asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, piece in pieces(_asked(batches, id_col, asked), text_col):
+            s = shingle_sets(piece, width)
+            whole, first = s.hash.tobytes(), s.first.tolist()
+            yield pa.RecordBatch.from_arrays([rows.column(id_col), pa.array([whole[8 * a : 8 * b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "members"])
 
     return run
 
@@ -319,50 +357,53 @@ class _Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are linked, by their sets."""
         pairs = stage(pairs.select("a", "b").distinct(), "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        held = self.filter_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        asked = stage(self.docs.mapInArrow(_sets(self.width, *self.cols, held), "id long, members binary"), "sets")
+        side = lambda k: asked.select(F.col("id").alias(k), F.col("members").alias(f"m{k}"))
+        return stage(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "mb").mapInArrow(_linked(self.share), "a long, b long"), "links")
+
+    def filter_of(self, ids: DataFrame):
+        """A filter of fixed size that lets all these ids through."""
         words = ids.mapInArrow(_bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
         held = np.zeros(FILTER_WORDS, np.uint64)
         held[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
-        asked = stage(self.docs.mapInArrow(_sets(self.width, *self.cols, self.spark.sparkContext.broadcast(held)), "id long, members binary"), "sets")
-        side = lambda k: asked.select(F.col("id").alias(k), F.col("members").alias(f"m{k}"))
-        return stage(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "mb").mapInArrow(_linked(self.share), "a long, b long"), "links")
+        return self.spark.sparkContext.broadcast(held)
 
-    def across(self, pairs: DataFrame, label: DataFrame) -> DataFrame:
+    def across(self, near: DataFrame, label: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components."""
         of = lambda k: label.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
-        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b", "h")
+        named = near.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return named.select("a", "b", "h", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca != cb")
 
-    def tiles(self, large: DataFrame, label: DataFrame) -> DataFrame:
-        """Pairs across components inside large runs that sizes and sketches allow."""
-        named = large.join(label.withColumnRenamed("node", "id"), "id", "left").select("run", "id", F.coalesce("component", "id").alias("label")).distinct()
+    def tiles(self, large: DataFrame, label: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs across components inside large runs that sizes and longer sketches allow."""
+        named = large.join(label.withColumnRenamed("node", "id"), "id", "left").select("run", "id", F.coalesce("component", "id").alias("label"))
         named = stage(named, "runs")
-        still = named.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-        still = still.select("run", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
-        rows = named.join(still, "run").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        rows = rows.join(self.sketches, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "label", "sketch")
-        return rows.groupBy("run", "i", "j").applyInPandas(_tile(self.share), "a long, b long, h long")
+        still = named.groupBy("run", "label").agg(F.count("*").alias("n")).groupBy("run").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", -F.col("label"))).alias("group"))
+        member = stage(named.join(still.where("labels > 1"), "run").select("group", "id", "label").distinct(), "members")
+        blocks = member.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+        sketches = self.docs.mapInArrow(_sketch(self.width, *self.cols, LONGER, self.filter_of(member.select("id").distinct())), "id long, n long, sketch binary")
+        rows = member.join(blocks, "group").join(sketches, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "label", "sketch")
+        return rows.groupBy("group", "i", "j").applyInPandas(_tile(self.share, nearest), "a long, b long, h long, ca long, cb long")
 
     def components(self) -> DataFrame:
         """(node, component) of documents with links."""
         near, large = self.candidates()
-        tried = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        tried = stage(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
         links = self.verified(tried)
         label = stage(connected_components(links.toDF("src", "dst")), "labels")
-        wide = stage(self.tiles(large, label).groupBy("a", "b").agg(F.min("h").alias("h")), "tiles")
-        open_ = stage(self.across(near.unionByName(wide), label).distinct().join(tried, ["a", "b"], "left_anti"), "open")
-        for last in (False, True):
-            if open_.isEmpty():
-                break
-            # First the best partner of each document, then what is still open.
-            best = lambda x, y: open_.groupBy(x).agg(F.min_by(y, F.struct("h", y)).alias(y)).select("a", "b")  # noqa: B023, E731
-            tried = open_.select("a", "b") if last else stage(best("a", "b").unionByName(best("b", "a")).distinct(), "best")
-            more = self.verified(tried)
-            if more.isEmpty() and last:
-                break
-            links = stage(links.unionByName(more), "links")
-            label = stage(connected_components(links.toDF("src", "dst")), "labels")
-            open_ = stage(self.across(open_, label).join(tried, ["a", "b"], "left_anti"), "open")
+        for nearest in (True, False):
+            still = self.across(near, label).unionByName(self.tiles(large, label, nearest))
+            if nearest:
+                still = still.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min_by(F.struct("a", "b"), F.struct("h", "a", "b")).alias("pair")).select("pair.*")
+            still = stage(still.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "still")
+            more = self.verified(still)
+            if not more.isEmpty():
+                links = stage(links.unionByName(more), "links")
+                label = stage(connected_components(links.toDF("src", "dst")), "labels")
+            tried = stage(tried.unionByName(still), "tried")
         return label
 
 
