@@ -15,10 +15,9 @@ send single shingles too, in a name space of their own.
 Candidates are held against each other's sizes and sketches, and what is left
 against the sets themselves. Blocks with few documents give all their pairs.
 Blocks with many give pairs with a pivot. After those are settled, only pairs
-across components are still open. Large blocks whose most frequent component is
-the same have mostly the same members, so they are taken together, and their
-members are held against each other by longer sketches, in tiles of bounded
-size: first the pairs of a least spanning forest of each tile, which connect
+across components are still open. Large blocks with the same smallest id have
+mostly the same members, so they are taken together as a group, whose members
+are held against each other by their sketches, in tiles of bounded size: first the pairs of a least spanning forest of each tile, which connect
 what is linked, then all pairs between components still apart that the sketches
 allow. Nothing is capped: each pair of different texts that the pigeonhole
 finds is linked, known to be connected, or refuted.
@@ -46,13 +45,11 @@ SHARE = 75
 SMALL_RUN = 24
 #: Members of a larger block that are held against each other in a task, on average.
 TILE = 2048
-#: Times the bits of a sketch, in tiles.
-LONGER = 4
 #: 64-bit words of the filter of ids; 8 MB.
 FILTER_WORDS = 1 << 20
 
 _ASK = "shard int, ids binary, sizes binary, keys binary"
-_FOUND = "run long, a long, b long"
+_FOUND = "large boolean, a long, b long"
 
 
 def _most(n: np.ndarray, share: int) -> np.ndarray:
@@ -122,22 +119,20 @@ def _send(shards: int, share: int, width: int, id_col: str, text_col: str):
 
 
 def _join(share: int):
-    """Of a shard: candidate pairs (run null, a < b), and the members of large runs (run, id, size)."""
+    """Of a shard: candidate pairs (a < b), and of large runs (smallest id, id)."""
 
     def pairs(i: np.ndarray, j: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         fits = (100 * np.minimum(sizes[i], sizes[j]) >= share * np.maximum(sizes[i], sizes[j])) & (ids[i] != ids[j])
         i, j = i[fits], j[fits]
         return np.where(ids[i] < ids[j], i * len(ids) + j, j * len(ids) + i)
 
-    def batch(run, a, b) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([run, pa.array(a), pa.array(b)], ["run", "a", "b"])
+    def batch(large: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), large)), pa.array(a), pa.array(b)], ["large", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, keys, base, shard = [], [], [], 0, 0
-        refs = []
+        ids, sizes, keys, refs, base = [], [], [], [], 0
         for rows in batches:
             for r in rows.to_pylist():
-                shard = r["shard"]
                 k = np.frombuffer(r["keys"], np.uint64)
                 ids.append(np.cumsum(unpack(r["ids"], np.int64)))
                 sizes.append(unpack(r["sizes"], np.uint32).astype(np.int64))
@@ -158,6 +153,7 @@ def _join(share: int):
             for part in np.array_split(at, max(1, len(at) * len(i) // (1 << 20))):
                 members = refs[part[:, None] + np.arange(r)]
                 got.append(np.unique(pairs(members[:, i].ravel(), members[:, j].ravel(), ids, sizes)))
+        groups: dict[int, list[np.ndarray]] = {}
         for k in np.flatnonzero(length > SMALL_RUN):
             members = refs[begin[k] : begin[k] + length[k]]
             members = members[np.lexsort((ids[members], sizes[members]))]
@@ -166,22 +162,26 @@ def _join(share: int):
                 upto = int(np.searchsorted(n, n[at] * 100 // share, side="right"))
                 got.append(pairs(np.full(upto - at - 1, members[at]), members[at + 1 : upto], ids, sizes))
                 at = max(upto, at + 1)
-            yield batch(pa.array(np.full(len(members), int(keys[begin[k]]) << 15 ^ shard)), ids[members], n)
+            own = ids[members]
+            groups.setdefault(int(own.min()), []).append(own)
+        for least, members in groups.items():
+            every = np.unique(np.concatenate(members))
+            yield batch(True, np.full(len(every), least), every)
         every = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
         for part in np.array_split(every, max(1, len(every) >> 16)):
-            yield batch(pa.nulls(len(part), pa.int64()), ids[part // len(ids)], ids[part % len(ids)])
+            yield batch(False, ids[part // len(ids)], ids[part % len(ids)])
 
     return run
 
 
-def _sketch(width: int, id_col: str, text_col: str, times: int = 1, asked=None):
-    """id, n and a parity sketch of 2n to 4n bits or ``times`` as many, a power of two and 64 at least."""
+def _sketch(width: int, id_col: str, text_col: str):
+    """id, n and a parity sketch of 2n to 4n bits, a power of two and 64 at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, piece in pieces(_asked(batches, id_col, asked), text_col):
+        for rows, piece in pieces(batches, text_col):
             sets = shingle_sets(piece, width)
             n = sets.sizes()
-            bits = times * np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+            bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
             base = np.concatenate([[0], np.cumsum(bits)])
             owner = np.repeat(np.arange(len(n)), n)
             at = base[owner] + (sets.hash & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -344,15 +344,15 @@ class _Join:
         self.sketches = stage(self.docs.mapInArrow(_sketch(width, *self.cols), "id long, n long, sketch binary"), "sketches")
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
-        """(a, b, h) that sizes and sketches allow; (run, id) of large runs."""
+        """(a, b, h) that sizes and sketches allow; (group, id) of large runs."""
         shards = parallelism(self.spark)
         asks = self.docs.mapInArrow(_send(shards, self.share, self.width, *self.cols), _ASK)
         found = stage(asks.repartitionById(shards, F.col("shard")).mapInArrow(_join(self.share), _FOUND), "found")
-        pairs = found.where("run IS NULL").select("a", "b").distinct()
+        pairs = found.where("NOT large").select("a", "b").distinct()
         side = lambda k: self.sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
         near = near.mapInArrow(_hamming(self.share), "a long, b long, h long")
-        return stage(near.groupBy("a", "b").agg(F.min("h").alias("h")), "near"), found.where("run IS NOT NULL").select("run", F.col("a").alias("id"))
+        return stage(near.groupBy("a", "b").agg(F.min("h").alias("h")), "near"), stage(found.where("large").select(F.col("a").alias("group"), F.col("b").alias("id")).distinct(), "groups")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are linked, by their sets."""
@@ -376,14 +376,11 @@ class _Join:
         return named.select("a", "b", "h", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca != cb")
 
     def tiles(self, large: DataFrame, label: DataFrame, nearest: bool) -> DataFrame:
-        """Pairs across components inside large runs that sizes and longer sketches allow."""
-        named = large.join(label.withColumnRenamed("node", "id"), "id", "left").select("run", "id", F.coalesce("component", "id").alias("label"))
-        named = stage(named, "runs")
-        still = named.groupBy("run", "label").agg(F.count("*").alias("n")).groupBy("run").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", -F.col("label"))).alias("group"))
-        member = stage(named.join(still.where("labels > 1"), "run").select("group", "id", "label").distinct(), "members")
-        blocks = member.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-        sketches = self.docs.mapInArrow(_sketch(self.width, *self.cols, LONGER, self.filter_of(member.select("id").distinct())), "id long, n long, sketch binary")
-        rows = member.join(blocks, "group").join(sketches, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        """Pairs across components inside groups of large runs that sizes and sketches allow."""
+        named = large.join(label.withColumnRenamed("node", "id"), "id", "left").select("group", "id", F.coalesce("component", "id").alias("label"))
+        named = stage(named, "members")
+        still = named.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("blocks")).where("lo != hi")
+        rows = named.join(still.select("group", "blocks"), "group").join(self.sketches, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "label", "sketch")
         return rows.groupBy("group", "i", "j").applyInPandas(_tile(self.share, nearest), "a long, b long, h long, ca long, cb long")
