@@ -25,6 +25,8 @@ from tidemill.llm.textkernel import Piece, piece_of, pieces
 TRAIN_TEXTS, TRAIN_BYTES, LANGUAGES = 300, 1 << 16, 64
 #: Landmarks in all, n-grams that are looked for, and the ridge.
 LANDMARKS, GRAMS, RIDGE = 192, 4096, 1e-2
+#: Texts in a matrix product.
+ROWS = 128
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -155,16 +157,17 @@ def _predict(model, text_col: str, columns: list[str]):
         for rows, piece in pieces(batches, text_col, 1 << 19):
             best, score = [], []
             texts = rows.column(text_col).to_pylist()
-            for at in range(0, piece.docs, 128):
+            for at in range(0, piece.docs, ROWS):
+                upto = min(at + ROWS, piece.docs)
                 if not m.languages:
-                    best.append(np.zeros(len(texts[at : at + 128]), np.int64))
+                    best.append(np.zeros(upto - at, np.int64))
                     score.append(np.zeros(len(best[-1])))
                     continue
-                part = Piece(piece.buf[piece.begin[at] : piece.begin[min(at + 128, piece.docs)]], piece.begin[at : at + 513] - piece.begin[at])
+                part = Piece(piece.buf[piece.begin[at] : piece.begin[upto]], piece.begin[at : upto + 1] - piece.begin[at])
                 s = m.scores(part)
                 k = s.argmax(axis=1)
                 e = np.exp(4 * (s - s.max(axis=1, keepdims=True)))
-                none = np.array([t is None or _LETTER.search(t) is None for t in texts[at : at + 128]], bool)
+                none = np.array([t is None or _LETTER.search(t) is None for t in texts[at:upto]], bool)
                 best.append(np.where(none, len(m.languages), k))
                 score.append(np.where(none, 0.0, 1 / e.sum(axis=1)))
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score).astype(np.float64))], [*columns, "lang_pred", "score"])
