@@ -44,7 +44,9 @@ SHARE = 75
 #: Documents that a block may have for all its pairs to be taken at once.
 SMALL_RUN = 24
 #: Members of a larger block that are held against each other in a task, on average.
-TILE = 2048
+TILE = 1 << 14
+#: Pairs that a tile holds before it takes their forest.
+HELD_PAIRS = 1 << 20
 #: 64-bit words of the filter of ids; 8 MB.
 FILTER_WORDS = 1 << 20
 
@@ -240,8 +242,16 @@ def _tile(share: int, nearest: bool):
             lo, hi = np.searchsorted(words, w), np.searchsorted(words, 2 * w, side="right")
             held[w] = (int(lo), np.concatenate([_fold(np.frombuffer(s, np.uint64)[None, :], w) for s in sketches[lo:hi]]))
         top = np.searchsorted(n, n * 100 // share, side="right")
-        found = []
+        found, pairs, numbered = [], 0, np.unique(label, return_inverse=True)[1]
+
+        def forest() -> list[np.ndarray]:
+            # The forest of all pairs is that of the forests of parts of them.
+            i, j, h = np.concatenate(found, axis=1)
+            return [np.stack([i, j, h])[:, _forest(numbered, i, j, h / (n[i] + n[j]))]]
+
         for i in range(len(ids)):
+            if nearest and pairs > HELD_PAIRS:
+                found, pairs = forest(), 0
             lo, folded = held[words[i]]
             others = np.arange(i + 1, top[i])
             apart = label[others] != label[i]
@@ -252,10 +262,10 @@ def _tile(share: int, nearest: bool):
                 h = np.bitwise_count(folded[others - lo] ^ folded[i - lo]).sum(axis=1).astype(np.int64)
                 ok = np.flatnonzero(_passes(h, n[i], n[others], share))
                 found.append(np.stack([np.full(len(ok), i), others[ok], h[ok]]))
+                pairs += len(ok)
+        if nearest and found:
+            found = forest()
         i, j, h = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        if nearest:
-            tree = _forest(np.unique(label, return_inverse=True)[1], i, j, h / (n[i] + n[j]))
-            i, j, h = i[tree], j[tree], h[tree]
         swap = ids[i] > ids[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         return pd.DataFrame({"a": ids[i], "b": ids[j], "h": h, "ca": label[i], "cb": label[j]})
