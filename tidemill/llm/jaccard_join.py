@@ -26,6 +26,7 @@ finds is linked, known to be connected, or refuted.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -346,6 +347,18 @@ def _linked(share: int):
     return run
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, most: int = 4 << 20):
+    """While rows carry whole sets, which may be long: Arrow batches of at most this many bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
 class _Join:
     def __init__(self, docs: DataFrame, share: int, width: int, id_col: str, text_col: str):
         self.spark, self.share, self.width = docs.sparkSession, share, width
@@ -370,7 +383,8 @@ class _Join:
         held = self.filter_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         asked = stage(self.docs.mapInArrow(_sets(self.width, *self.cols, held), "id long, members binary"), "sets")
         side = lambda k: asked.select(F.col("id").alias(k), F.col("members").alias(f"m{k}"))
-        return stage(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "mb").mapInArrow(_linked(self.share), "a long, b long"), "links")
+        with _small_batches(self.spark):
+            return stage(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "mb").mapInArrow(_linked(self.share), "a long, b long"), "links")
 
     def filter_of(self, ids: DataFrame):
         """A filter of fixed size that lets all these ids through."""
