@@ -59,7 +59,7 @@ def levels(path: Column, root: str, compat: bool = False) -> Column:
 def clock(seconds: Column) -> Column:
     """MM:SS; minutes may exceed 59; empty for null."""
     whole = F.floor(seconds)
-    return F.coalesce(F.format_string("%02d:%02d", F.floor(whole / 60), whole % 60), F.lit(""))
+    return F.when(seconds.isNull(), "").otherwise(F.format_string("%02d:%02d", F.floor(whole / 60), whole % 60))
 
 
 def _seconds(data: bytes | None) -> float | None:
