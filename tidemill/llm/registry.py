@@ -8,6 +8,7 @@ from tidemill.llm.jaccard_join import op4_jaccard_join
 from tidemill.llm.language_id import op10_language_id
 from tidemill.llm.line_dedup import OP7_SQL, op7_line_dedup
 from tidemill.llm.mixing import op9_mixing
+from tidemill.llm.oracles import OP3_SQL, OP4_SQL, OP5_SQL
 from tidemill.llm.sharding import op8_sharding
 from tidemill.llm.substring_dedup import op5_substring_dedup
 from tidemill.llm.token_counts import op2_token_counts
@@ -21,4 +22,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL}
