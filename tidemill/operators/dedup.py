@@ -21,6 +21,7 @@ from tidemill.staging import stage
 log = logging.getLogger(__name__)
 
 ROW, GROUP, RANK = "_tm_row", "_tm_group", "_tm_rank"
+# Fixed value: what parts identifiers in a cell.
 SEPARATORS = r"[;,|]+"
 
 

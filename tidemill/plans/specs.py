@@ -11,12 +11,14 @@ from pyspark.sql import types as T
 ColumnSpec = str | Iterable[str] | None
 
 _LINK = re.compile(r"\s*(?:any|or|link)\s*[: ]\s*(\S.*)", re.IGNORECASE | re.DOTALL)
+# What names of identifiers have.
 _IDENTITY = re.compile(
     r"(email|e[-_ ]?mail|phone|mobile|msisdn|uuid|guid|identifier|external[_ ]?id|customer[_ ]?id|user[_ ]?id|account[_ ]?id|(^|[_ ])id($|[_ ]))",
     re.IGNORECASE,
 )
 _STRONG_IDENTITY = re.compile(r"(uuid|guid|(^|[_ ])id($|[_ ]))", re.IGNORECASE)
 
+# Other names of arguments and their values.
 ACTIONS = {"remove": "remove", "rm": "remove", "drop": "remove", "delete": "remove", "flag": "flag", "mark": "flag", "tag": "flag"}
 MODES = {"auto": "auto", "a": "auto", "collapse": "collapse", "c": "collapse", "one": "collapse", "within": "within", "w": "within"}
 PICKS = {"first": "first", "head": "first", "keep_first": "first", "last": "last", "tail": "last", "keep_last": "last", "random": "random", "rand": "random"}
