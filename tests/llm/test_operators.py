@@ -240,7 +240,7 @@ def test_mix(spark, docs, odd, empty):
         largest[s] = max(largest.get(s, 0), r["size"])
     assert len(got) == len(DOCS) and abs(sum(t for _, t in total.values()) - 1.5 * sum(sizes.values())) < 1e-6
     assert all(abs(taken - target) <= largest[s] / 2 + 1e-6 for s, (taken, target) in total.items())
-    assert sorted(got) == sorted(mx.mix(docs).collect())
+    assert sorted(got) == sorted(mx.mix(docs).collect()) == sorted(mx.mix(docs.repartition(5, "doc_id")).collect())
     assert mx.mix(odd).count() == 7
     assert mx.mix(empty).collect() == []
 

@@ -53,7 +53,7 @@ def _duel(state: Column, x: Column, seed: int) -> Column:
     a = state["left"]
     gain = F.least((1 - a["p"]) * a["size"], x["p"] * x["size"])
     loss = F.least(a["p"] * a["size"], (1 - x["p"]) * x["size"])
-    chance = (F.pmod(F.xxhash64(F.lit(seed), a["id"], a["row"], x["id"], x["row"]), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    chance = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce(a["id"], a["row"]), F.coalesce(x["id"], x["row"])), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     up = chance * (gain + loss) < loss
     unit = lambda u, p: F.struct(u["id"].alias("id"), u["row"].alias("row"), u["size"].alias("size"), u["whole"].alias("whole"), p.alias("p"))
     one, zero = F.lit(1.0), F.lit(0.0)
@@ -73,9 +73,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     document is taken a whole number of times, the floor or the ceiling of its
     source's target / source_size, so never more than ``most`` times if that is
     whole. ``taken`` is copies * size; documents of no words have no copies.
-    A null source is a source. Reruns on the same table agree. Rows with a null
-    or repeated id are told apart by their row. An empty table gives an empty
-    result. Other columns aren't looked at.
+    A null source is a source. Reruns agree, whatever the layout of files, where
+    ids are known and differ; rows with a null or repeated id are told apart by
+    their row, so that reruns agree on the same files. An empty table gives an
+    empty result. Other columns aren't looked at.
     """
     rows = stage(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row")), "sizes"
@@ -92,7 +93,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     decided = [named.where(~rounded).select("rank", "id", "row", "size", F.when(F.col("size") > 0, F.col("whole")).otherwise(0).cast("long").alias("copies"))]
     blocks = -(-(known.agg(F.max("units")).first()[0] or 0) // BLOCK)
     while True:
-        array = F.array_sort(F.transform(F.collect_list("unit"), lambda u: F.struct(F.xxhash64(F.lit(seed), u["id"]).alias("order"), u.alias("unit"))))
+        array = F.array_sort(F.transform(F.collect_list("unit"), lambda u: F.struct(F.xxhash64(F.lit(seed), F.coalesce(u["id"], u["row"])).alias("order"), u.alias("unit"))))
         met = units.groupBy("rank", "block").agg(F.transform(array, lambda x: x["unit"]).alias("units"))
         start = F.struct(F.slice("units", 1, 0).alias("done"), F.element_at("units", 1).alias("left"))
         met = met.select("rank", "block", F.aggregate(F.slice("units", 2, F.greatest(F.size("units") - 1, F.lit(0))), start, lambda s, x: _duel(s, x, seed)).alias("state"))
