@@ -48,6 +48,14 @@ def test_null_keys(spark):
     assert kept(deduplicate(df, on="k", pick=lambda g, key: g.tail(1))) == [2]
 
 
+def test_callables_get_groups_in_order(spark):
+    df = spark.range(400).select(F.col("id").alias("ord"), (F.col("id") % 3).alias("k"), (-F.col("id")).alias("back"))
+    shuffled = df.repartition(16)
+    assert kept(deduplicate(shuffled, on="k", pick=lambda g: g.tail(1), order_by="ord")) == [397, 398, 399]
+    assert kept(deduplicate(shuffled, on="k", pick=lambda g: g.tail(1), order_by="back")) == [0, 1, 2]
+    assert kept(deduplicate(df, on="k", pick=lambda g, key: g.head(2))) == [0, 1, 2, 3, 4, 5]
+
+
 def test_extremes_ignore_nan_and_ties_go_first(spark):
     df = spark.createDataFrame([(0, "a", float("nan")), (1, "a", 3.0), (2, "a", 3.0), (3, "b", None), (4, "b", None)], "ord long, k string, v double")
     assert kept(deduplicate(df, on="k", pick="max:v", order_by="ord")) == [1, 3]

@@ -87,10 +87,11 @@ def _sort(df: DataFrame, pick: specs.Pick, order: list[Column], seed: int | None
 
 
 def _call(function: Callable, keys: int):
-    """The callable takes (group) or (group, key); rows it returns are known by their row number."""
+    """The callable takes (group) or (group, key), the group in order; rows it returns are known by their row number."""
     takes = [p for p in inspect.signature(function).parameters.values() if p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD)]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(RANK).drop(columns=RANK)
         rows = rows.set_index(rows[ROW].to_numpy())
         kept = function(rows, key if keys > 1 else key[0]) if len(takes) > 1 else function(rows)
         return pd.DataFrame({ROW: kept.index.to_numpy(dtype="int64")})
@@ -111,7 +112,7 @@ def deduplicate(
     identifiers, inside ``block_by`` and, with both, ``group_by``. ``collapse``
     keeps a row of each group, ``within`` a row of each key in each group.
     ``pick``: first, last, random, max:c, min:c (nulls last, ties to the first)
-    or a callable that returns rows of the group. Nulls and NaN are one key.
+    or a callable that gets the group in order and returns rows of it. Nulls and NaN are one key.
 
     First and last follow ``order_by``, and the table's own order where that
     is absent or ties; name a unique column for results that don't depend on
@@ -168,6 +169,8 @@ def deduplicate(
                 rows = rows.where(clean(df, c).isNotNull())
         named = rows.withColumns({f"_tm_k{k}": c for k, c in enumerate(keys)})
         names = [f"_tm_k{k}" for k in range(len(keys))]
+        # A shuffle gives no order; the window's also serves the groups.
+        named = named.withColumn(RANK, F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
         kept = named.groupBy(*names).applyInPandas(_call(chosen.function, len(names)), f"{ROW} long").distinct().withColumn(RANK, F.lit(1))
         ranked = work.join(kept, ROW, "left").withColumn(flag_column, F.col(RANK).isNull())
     else:
