@@ -1,7 +1,13 @@
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 from tidemill import cli
 
+ROOT = Path(__file__).resolve().parents[1]
+
 
 def test_lines(spark, tmp_path, capsys):
     (tmp_path / "r.csv").write_text('ingredients\n"salt, pepper"\n"salt; sugar"\n')
@@ -23,3 +29,19 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_workers_elsewhere_can_import(tmp_path):
+    """A driver that starts in another folder, with the repository on its own path only."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+import __spark_entry__
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.sql.shuffle.partitions", "1").config("spark.ui.enabled", "false").getOrCreate()
+parts = {str(tmp_path)!r}
+spark.createDataFrame([(50, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>").write.parquet(parts + "/embeddings.parquet")
+assert __spark_entry__.queries()["knn_topk"](spark, parts).count() == 2
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, timeout=300).returncode == 0

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +51,29 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Applications whose workers have this package.
+_SENT: set[str] = set()
+
+
+def portable(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query, which first sends this package to Python workers, once for an application.
+
+    Workers import what is sent to them by name. They start in folders of their
+    own, so what the driver has on its path is not on theirs.
+    """
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        context, home = spark.sparkContext, Path(__file__).resolve().parent
+        if context.applicationId not in _SENT and home.is_dir():
+            packed = Path(tempfile.mkdtemp(prefix=f"{home.name}-")) / f"{home.name}.zip"
+            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+                for source in sorted(home.rglob("*.py")):
+                    out.write(source, source.relative_to(home.parent))
+            context.addPyFile(str(packed))
+            _SENT.add(context.applicationId)
+        return query(spark, *args)
+
+    return run
