@@ -10,7 +10,13 @@ the largest difference that a linked document may have: at most D of them hold
 a difference, so two linked documents send one block with equal content. (The
 first D + 1 of either: up to where the earlier one stops, it has D + 1 such
 blocks, and one of them has no difference.) Documents with too few such blocks
-send single shingles too, in a name space of their own.
+send single shingles too, D + 1 of them, in a name space of their own.
+
+What comes first may be any order of contents that all documents share. Contents
+that very many documents have come last, by counts of all contents in a sketch
+of fixed size: documents that share a passage and little else send what is
+theirs alone. The counts may be too large; that changes which blocks are sent,
+never what is found.
 
 Candidates are held against each other's sizes and sketches, and what is left
 against the sets themselves. Blocks with few documents give all their pairs.
@@ -50,6 +56,8 @@ TILE = 1 << 14
 HELD_PAIRS = 1 << 20
 #: 64-bit words of the filter of ids; 8 MB.
 FILTER_WORDS = 1 << 20
+#: Counters of how many documents have a content, and the slices in which tasks' counters are added up.
+COUNTERS, SLICES = 1 << 18, 64
 
 _ASK = "shard int, ids binary, sizes binary, keys binary"
 _FOUND = "large boolean, a long, b long"
@@ -61,12 +69,36 @@ def _most(n: np.ndarray, share: int) -> np.ndarray:
     return n * (100 - share) // share
 
 
-def _blocks(sets: Sets, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Owners and signatures of the blocks that documents send."""
+def _ranks(owner: np.ndarray, signature: np.ndarray, classes: np.ndarray | None) -> np.ndarray:
+    """Place of each content among its owner's, common ones last; owners ascend."""
+    n, at = len(owner), np.arange(len(owner))
+    begin = np.searchsorted(owner, owner)
+    if classes is None or not n:
+        return at - begin
+    order = np.argsort(owner << 8 | classes[signature & np.uint64(COUNTERS - 1)], kind="stable")
+    out = np.empty(n, np.int64)
+    out[order] = at
+    return out - begin
+
+
+def _blocks(sets: Sets, share: int, classes: np.ndarray | None = None, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and signatures of the blocks that documents send, or of all that they could send.
+
+    ``classes`` has for the low bits of a signature how common it is; what is
+    equally common is ordered by place, the same in all documents.
+    """
     n = sets.sizes()
-    top = n * 100 // share
+    top, most = n * 100 // share, _most(n, share)
     level = lambda x: np.ceil(np.log2(np.maximum(x, 1)) / 2 - 1e-12).astype(np.int64)
     owners, signatures = [], []
+
+    def add(owner: np.ndarray, signature: np.ndarray) -> None:
+        if not every:
+            sent = _ranks(owner, signature, classes) <= most[owner]
+            owner, signature = owner[sent], signature[sent]
+        owners.append(owner)
+        signatures.append(signature)
+
     own_level, last = level(n), level(top)
     for step in range(int((last - own_level).max(initial=0)) + 1):
         use = (n > 0) & (own_level + step <= last)
@@ -81,30 +113,51 @@ def _blocks(sets: Sets, share: int) -> tuple[np.ndarray, np.ndarray]:
         fresh[1:] = (block[1:] != block[:-1]) | (o[1:] != o[:-1])
         at = np.flatnonzero(fresh)
         content, o = np.bitwise_xor.reduceat(mix(h), at), o[at]
-        first = np.searchsorted(o, np.arange(len(n) + 1))
-        rank = np.arange(len(o)) - first[o]
-        sent = rank <= _most(n, share)[o]
-        owners.append(o[sent])
-        signatures.append(mix(content[sent] + lev[o[sent]].astype(np.uint64)))
-        few = np.flatnonzero(use & (np.diff(first) <= _most(n, share)))
+        add(o, mix(content + lev[o].astype(np.uint64)))
+        few = np.flatnonzero(use & (np.bincount(o, minlength=len(n)) <= most))
         if len(few):
-            o = np.repeat(few, n[few])
             h = np.concatenate([sets.hash[sets.first[d] : sets.first[d + 1]] for d in few])
-            owners.append(o)
-            signatures.append(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+            add(np.repeat(few, n[few]), mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
     if not owners:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(owners), np.concatenate(signatures)
 
 
-def _send(shards: int, share: int, width: int, id_col: str, text_col: str):
+def _count(share: int, width: int, text_col: str):
+    """Counters of a task's contents, in slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.int64)
+        for _, piece in pieces(batches, text_col):
+            _, sig = _blocks(shingle_sets(piece, width), share, every=True)
+            held += np.bincount((sig & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        yield _slices(held.reshape(SLICES, -1), np.flatnonzero(held.reshape(SLICES, -1).any(axis=1)))
+
+    return run
+
+
+def _slices(held: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([pack(held[k]) for k in which], pa.binary())], ["slice", "counts"])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            held[k] = held.get(k, 0) + unpack(counts, np.int64)
+    if held:
+        which = sorted(held)
+        yield _slices(np.stack([held[k] for k in which]), np.arange(len(which))).set_column(0, "slice", pa.array(which, pa.int32()))
+
+
+def _send(shards: int, share: int, width: int, id_col: str, text_col: str, classes):
     """Signatures by shard: 48 bits and 16 for which of the documents beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, piece in pieces(batches, text_col):
             sets = shingle_sets(piece, width)
             ids, sizes = rows.column(id_col).to_numpy(), sets.sizes()
-            owner, sig = _blocks(sets, share)
+            owner, sig = _blocks(sets, share, classes.value)
             order = np.argsort(sig)
             owner, sig = owner[order], sig[order]
             shard = ((sig >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
@@ -366,10 +419,19 @@ class _Join:
         self.docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).where(F.col(id_col).isNotNull())
         self.sketches = stage(self.docs.mapInArrow(_sketch(width, *self.cols), "id long, n long, sketch binary"), "sketches")
 
+    def commonness(self):
+        """By a content's low bits 0, or from twice the mean of all counters on the logarithm of its share in it."""
+        counts = self.docs.mapInArrow(_count(self.share, self.width, self.cols[1]), "slice int, counts binary")
+        held = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
+        for row in counts.repartitionById(SLICES, F.col("slice")).mapInArrow(_add_up, "slice int, counts binary").collect():
+            held[row["slice"]] = unpack(row["counts"], np.int64)
+        common = held.ravel() / max(held.mean(), SMALL_RUN)
+        return self.spark.sparkContext.broadcast(np.log2(np.maximum(1, common)).astype(np.uint8))
+
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         """(a, b, h) that sizes and sketches allow; (group, id) of large runs."""
         shards = parallelism(self.spark)
-        asks = self.docs.mapInArrow(_send(shards, self.share, self.width, *self.cols), _ASK)
+        asks = self.docs.mapInArrow(_send(shards, self.share, self.width, *self.cols, self.commonness()), _ASK)
         found = stage(asks.repartitionById(shards, F.col("shard")).mapInArrow(_join(self.share), _FOUND), "found")
         pairs = found.where("NOT large").select("a", "b").distinct()
         side = lambda k: self.sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
