@@ -15,7 +15,7 @@ from tidemill.llm.jaccard_join import near_duplicates
 from tidemill.llm.language_id import held_out, identify, train
 from tidemill.llm.mixing import mix
 from tidemill.llm.sharding import shard
-from tidemill.staging import stage
+from tidemill.staging import portable, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ROW = "row of the stage"
@@ -63,7 +63,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard(docs)
 
 
-STAGES = [("language", language), ("near_duplicate", near_duplicate), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
+STAGES = [(f.__name__, portable(f)) for f in (language, near_duplicate, decontamination, mixing, sharding)]
 
 #: The string kernel, the random duels and the differencing can't be said in SQL.
 ORACLE_SQL = None

@@ -344,3 +344,32 @@ def test_pipeline(spark):
     kept = cp.near_duplicate(spark, docs, sf).select("doc_id").collect()
     want = {c for _, n, c in brute.components([(r["doc_id"], r["text"]) for r in docs.collect()])}
     assert {r[0] for r in kept} == want
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_linked_documents_send_one_content_in_any_order(seed):
+    """Whatever the counts of contents say, right or wrong."""
+    import pyarrow as pa
+
+    from tidemill.llm.shingles import shingle_sets
+
+    r = random.Random(seed)
+    texts = []
+    for n in (1, 4, 6, 7, 12, 40, 90, 300, 700):
+        words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        for _ in range(12):
+            own = list(words)
+            for _ in range(r.randint(0, max(1, n // 30))):
+                own[r.randrange(n)] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(own[: n - r.randint(0, n // 10)]))
+    sets = shingle_sets(tk.piece_of(pa.array(texts, pa.string())), 5)
+    classes = np.random.default_rng(seed).integers(0, 20, jj.COUNTERS).astype(np.uint8)
+    owner, signature = jj._blocks(sets, 75, classes)
+    sent = [set(signature[owner == k].tolist()) for k in range(len(texts))]
+    own = [set(sets.hash[a:b].tolist()) for a, b in zip(sets.first[:-1], sets.first[1:], strict=True)]
+    linked = [(i, j) for i in range(len(own)) for j in range(i) if 100 * len(own[i] & own[j]) >= 75 * len(own[i] | own[j])]
+    assert len(linked) > 100 and all(sent[i] & sent[j] for i, j in linked)
+
+
+def test_numbers_are_not_letters():
+    assert [li._lettered(t) for t in ("½ ² 12_", "½ a", "é", "", None, "字")] == [False, True, True, False, False, True]

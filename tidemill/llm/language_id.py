@@ -28,7 +28,12 @@ LANDMARKS, GRAMS, RIDGE = 192, 4096, 1e-2
 #: Texts in a matrix product.
 ROWS = 128
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers that aren't decimal digits, such as a half.
+_WORDY = re.compile(r"[^\W\d_]")
+
+
+def _lettered(text: str | None) -> bool:
+    return text is not None and any(m.group().isalpha() for m in _WORDY.finditer(text))
 
 
 def _fold() -> np.ndarray:
@@ -167,7 +172,7 @@ def _predict(model, text_col: str, columns: list[str]):
                 s = m.scores(part)
                 k = s.argmax(axis=1)
                 e = np.exp(4 * (s - s.max(axis=1, keepdims=True)))
-                none = np.array([t is None or _LETTER.search(t) is None for t in texts[at:upto]], bool)
+                none = np.array([not _lettered(t) for t in texts[at:upto]], bool)
                 best.append(np.where(none, len(m.languages), k))
                 score.append(np.where(none, 0.0, 1 / e.sum(axis=1)))
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score).astype(np.float64))], [*columns, "lang_pred", "score"])
