@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,16 @@ def test_name_tables(spark):
     assert names.rename_columns(spark.range(1).toDF("My Col")).columns == ["my_col"]
 
 
+def test_ascii_of_whole_texts(spark, tmp_path):
+    from tidemill.queries import QUERIES
+
+    texts = [(1, "plain first, then été\nand ñandú"), (2, "Łódź straße ﬁn ½ 数据 e\u0301"), (3, "a" * 30 + "é"), (4, None), (5, ""), (6, "12 — 数据"), (7, "x " * 5000 + "Ünï")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: t if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for i, t in texts}
+    assert want[1] == "plain first, then ete\nand nandu" and want[2] == "odz strae fin 12  e"
+    assert {r["doc_id"]: r["folded"] for r in QUERIES["names_ascii"](spark, str(tmp_path)).collect()} == want
+
+
 @pytest.mark.parametrize(
     ("value", "want"),
     [

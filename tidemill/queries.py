@@ -236,8 +236,7 @@ def names_dupes(spark, sf):
 
 @query("SELECT doc_id, strip_accents(left(regexp_extract(text, '[A-Za-zÀ-ÖÙ-Ýà-öù-ý]+'), 20)) AS folded FROM documents")
 def names_ascii(spark, sf):
-    word = F.substring(F.regexp_extract("text", "[A-Za-zÀ-ÖÙ-Ýà-öù-ý]+", 0), 1, 20)
-    return read(spark, sf, "documents").select("doc_id", names.transliterated(word, ["latin", "ascii"]).alias("folded"))
+    return read(spark, sf, "documents").select("doc_id", names.transliterated(F.col("text"), ["latin", "ascii"]).alias("folded"))
 
 
 # --- items
