@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +271,21 @@ def test_languages(spark, docs, odd, empty):
         li.identify(docs.withColumn("score", F.lit(1)), model, keep=("doc_id", "score"))
 
 
+def test_every_gram_of_landmarks(monkeypatch):
+    r = random.Random(5)
+    latin = ["".join(r.choice("abcdefghij ") for _ in range(200)) for _ in range(20)]
+    texts = latin + ["".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(400)) for _ in range(20)]
+    model = li.fit(texts, ["la"] * 20 + ["zh"] * 20)
+    whole = [{t.encode()[i : i + n] for t in texts for i in range(len(t.encode()) - n + 1)} for n in (1, 2, 3)]
+    assert [len(g) for g in model.grams] == [len(x) for x in whole] and len(whole[2]) > 8192
+    sure = model.kernel(tk.piece_of(pa.array(texts)))
+    sets = [[{t.encode()[i : i + n] for i in range(len(t.encode()) - n + 1)} for n in (1, 2, 3)] for t in texts]
+    both = sum(len(a & b) for a, b in zip(sets[0], sets[25], strict=True)) / np.sqrt(sum(map(len, sets[0])) * sum(map(len, sets[25])))
+    assert sure[0, 25] == pytest.approx(both, rel=1e-5) and np.allclose(sure.diagonal(), 1)
+    monkeypatch.setattr(li, "CELLS", 1)
+    assert np.allclose(model.kernel(tk.piece_of(pa.array(texts))), sure)
+
+
 def test_held_out_accuracy(spark):
     from tidemill.llm.registry import QUERIES
 

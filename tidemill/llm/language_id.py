@@ -23,10 +23,10 @@ from tidemill.llm.textkernel import Piece, piece_of, pieces
 
 #: Training texts of a language, their longest size in bytes, and the languages: the bounds of what the driver gets.
 TRAIN_TEXTS, TRAIN_BYTES, LANGUAGES = 300, 1 << 16, 64
-#: Landmarks in all, n-grams that are looked for, and the ridge.
-LANDMARKS, GRAMS, RIDGE = 192, 4096, 1e-2
-#: Texts in a matrix product.
-ROWS = 128
+#: Landmarks in all and the ridge. Every n-gram of a landmark is looked for.
+LANDMARKS, RIDGE = 192, 1e-2
+#: Texts in a matrix product at most, n-grams in one, and cells of texts by n-grams.
+ROWS, GRAMS, CELLS = 128, 1 << 13, 1 << 20
 
 #: Letters, and numbers that aren't decimal digits, such as a half.
 _WORDY = re.compile(r"[^\W\d_]")
@@ -62,17 +62,22 @@ def _codes(piece: Piece) -> Iterator[np.ndarray]:
 class Model:
     languages: list[str]
     grams: list[np.ndarray]
-    landmarks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    #: By landmark the presence of each n-gram, as packed bits.
+    landmarks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.uint8))
     coefficients: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    @property
+    def width(self) -> int:
+        return sum(map(len, self.grams))
+
     def tables(self) -> list[np.ndarray]:
         """By n and code the place among the n-grams that are looked for, or the place after the last."""
         if self.key not in _TABLES:
             _TABLES.clear()
-            total, base, out = sum(map(len, self.grams)), 0, []
+            total, base, out = self.width, 0, []
             for n, g in enumerate(self.grams, 1):
-                t = np.full(1 << 8 * n, total, np.uint16)
+                t = np.full(1 << 8 * n, total, np.min_scalar_type(total))
                 t[g] = np.arange(base, base + len(g))
                 base += len(g)
                 out.append(t)
@@ -80,17 +85,30 @@ class Model:
         return _TABLES[self.key]
 
     def presence(self, piece: Piece) -> np.ndarray:
-        width = sum(map(len, self.grams)) + 1
+        width = self.width + 1
         row = np.repeat(np.arange(piece.docs), np.diff(piece.begin)) * width
         seen = np.zeros(piece.docs * width, np.uint8)
         for t, code in zip(self.tables(), _codes(piece), strict=True):
             seen[row[: len(code)] + t[code]] = 1
-        return seen.reshape(piece.docs, width)[:, :-1].astype(np.float32)
+        return seen.reshape(piece.docs, width)[:, :-1]
+
+    def parts(self, piece: Piece) -> Iterator[Piece]:
+        """Runs of texts whose presence has at most CELLS cells, or of one text."""
+        rows = max(1, min(ROWS, CELLS // (self.width + 1)))
+        for at in range(0, piece.docs, rows):
+            upto = min(at + rows, piece.docs)
+            yield Piece(piece.buf[piece.begin[at] : piece.begin[upto]], piece.begin[at : upto + 1] - piece.begin[at])
 
     def kernel(self, piece: Piece) -> np.ndarray:
-        x = self.presence(piece)
-        own = np.sqrt(np.maximum(1, x.sum(axis=1)))
-        return (x @ self.landmarks.T) / own[:, None] / np.sqrt(np.maximum(1, self.landmarks.sum(axis=1)))
+        out = [np.zeros((0, len(self.landmarks)), np.float32)]
+        for part in self.parts(piece):
+            x, like, own = self.presence(part), np.float32(0), np.zeros(len(self.landmarks), np.int64)
+            for at in range(0, self.width, GRAMS):
+                marks = np.unpackbits(self.landmarks[:, at // 8 : (at + GRAMS) // 8], axis=1, count=min(GRAMS, self.width - at))
+                like = like + x[:, at : at + GRAMS].astype(np.float32) @ marks.T.astype(np.float32)
+                own += marks.sum(axis=1, dtype=np.int64)
+            out.append((like / np.sqrt(np.maximum(1, x.sum(axis=1, dtype=np.int64)))[:, None] / np.sqrt(np.maximum(1, own))).astype(np.float32))
+        return np.concatenate(out)
 
     def scores(self, piece: Piece) -> np.ndarray:
         return self.kernel(piece) @ self.coefficients
@@ -106,16 +124,12 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     each = max(1, LANDMARKS // max(1, len(names)))
     chosen = np.concatenate([np.flatnonzero(which == k)[:each] for k in range(len(names))])
     marks = piece_of(pa.array([texts[i] for i in chosen], pa.string()))
-    owner, grams, room = np.repeat(np.arange(marks.docs), np.diff(marks.begin)), [], GRAMS
+    grams = []
     for code in _codes(marks):
-        pairs = np.unique(owner[: len(code)].astype(np.uint64) << np.uint64(32) | code)
-        found, n = np.unique((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        found, n = found[found > 0], n[found > 0]
-        order = np.lexsort((found, -n))[:room]
-        grams.append(np.sort(found[order]))
-        room -= len(order)
+        found = np.unique(code).astype(np.int64)
+        grams.append(found[found > 0])
     model = Model(names, grams)
-    model.landmarks = model.presence(marks)
+    model.landmarks = np.concatenate([np.packbits(model.presence(p), axis=1) for p in model.parts(marks)])
     inner = model.kernel(marks).astype(np.float64)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     good = values > 1e-6 * values.max()
