@@ -286,6 +286,22 @@ def test_every_gram_of_landmarks(monkeypatch):
     assert np.allclose(model.kernel(tk.piece_of(pa.array(texts))), sure)
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    words = {f"l{i}": f"{a}{b} {b}{a}{a} " for i, (a, b) in enumerate(zip("abcdef", "uvwxyz", strict=True))}
+    texts = [(k, words[lang] * (40 if lang == "l5" else 3), lang) for k, lang in enumerate(sorted(words) * 4)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    for name, value in {"LANGUAGES": 2, "TRAIN_TEXTS": 6, "TRAIN_BYTES": 64}.items():
+        monkeypatch.setattr(li, name, value)
+    seen = []
+    monkeypatch.setattr(li, "fit", lambda t, lang, fit=li.fit: seen.extend(zip(lang, t, strict=True)) or fit(t, lang))
+    model = li.train(docs)
+    assert model.languages == sorted(words) and {lang: len(t) for lang, t in seen}["l5"] == 16 and len(seen) <= 2 * 6
+    assert all(r["lang"] == r["lang_pred"] for r in li.identify(docs, model, keep=("lang",)).collect())
+    monkeypatch.setattr(li, "MOST_LANGUAGES", 5)
+    with pytest.raises(ValueError):
+        li.train(docs)
+
+
 def test_held_out_accuracy(spark):
     from tidemill.llm.registry import QUERIES
 

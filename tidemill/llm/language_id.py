@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.textkernel import Piece, piece_of, pieces
 
-#: Training texts of a language, their longest size in bytes, and the languages: the bounds of what the driver gets.
+#: Training texts of a language, their longest size in bytes, and the languages that get so many: the bounds of what the driver gets.
 TRAIN_TEXTS, TRAIN_BYTES, LANGUAGES = 300, 1 << 16, 64
-#: Landmarks in all and the ridge. Every n-gram of a landmark is looked for.
-LANDMARKS, RIDGE = 192, 1e-2
+#: Languages at most; from LANGUAGES on each has fewer training texts.
+MOST_LANGUAGES = 512
+#: Landmarks in all, of a language at least, and the ridge. Every n-gram of a landmark is looked for.
+LANDMARKS, LEAST_LANDMARKS, RIDGE = 192, 3, 1e-2
 #: Texts in a matrix product at most, n-grams in one, and cells of texts by n-grams.
 ROWS, GRAMS, CELLS = 128, 1 << 13, 1 << 20
 
@@ -121,7 +123,7 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     """Fit on texts in the order given; that order decides which are landmarks."""
     names = sorted(set(languages))
     which = np.array([names.index(x) for x in languages])
-    each = max(1, LANDMARKS // max(1, len(names)))
+    each = max(LEAST_LANDMARKS, LANDMARKS // max(1, len(names)))
     chosen = np.concatenate([np.flatnonzero(which == k)[:each] for k in range(len(names))])
     marks = piece_of(pa.array([texts[i] for i in chosen], pa.string()))
     grams = []
@@ -145,23 +147,30 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: Column | None = None) -> Model:
     """Fit on a bounded sample of the labelled rows that aren't held out.
 
-    For each of the LANGUAGES most frequent labels about TRAIN_TEXTS rows, those
-    of the least hashed ids, of at most TRAIN_BYTES bytes: the sample's bound.
-    Without a labelled text the model has no languages.
+    For each label about TRAIN_TEXTS rows, those of the least hashed ids, of at
+    most TRAIN_BYTES bytes; of a label that has only longer texts, their
+    beginnings. With more than LANGUAGES labels each has so many fewer rows, the
+    sample's bound; more than MOST_LANGUAGES are an error. Without a labelled
+    text the model has no languages.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.coalesce(held_out, F.lit(False)).alias("held") if held_out is not None else F.lit(False).alias("held"))
-    known = known.where("lang IS NOT NULL AND text IS NOT NULL AND NOT held")
-    counts = known.where(F.octet_length("text").between(1, TRAIN_BYTES)).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    known = known.where("lang IS NOT NULL AND text != '' AND NOT held").withColumn("short", F.octet_length("text") <= TRAIN_BYTES)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("short").alias("short")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels")
     if not counts:
         return Model([], [])
+    most = TRAIN_TEXTS if len(counts) <= LANGUAGES else max(1, TRAIN_TEXTS * LANGUAGES // len(counts))
     spot = (F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 40)) / float(1 << 40)).alias("spot")
-    share = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.2 * TRAIN_TEXTS / r["n"])))), F.col("lang"))
-    picked = known.where(F.col("lang").isin([r["lang"] for r in counts])).where(F.octet_length("text").between(1, TRAIN_BYTES)).where(spot <= share)
-    rows = sorted(picked.select("lang", "text", spot).collect(), key=lambda r: (r["spot"], r["lang"], r["text"]))
+    share = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, max(40.0, 1.2 * most) / (r["short"] or r["n"]))))), F.col("lang"))
+    long = [r["lang"] for r in counts if not r["short"]]
+    picked = known.where(F.col("short") | F.col("lang").isin(long)).where(spot <= share)
+    text = F.when(F.col("short"), F.col("text")).otherwise(F.substring("text", 1, TRAIN_BYTES // 4)).alias("text")
+    rows = sorted(picked.select("lang", text, spot).collect(), key=lambda r: (r["spot"], r["lang"], r["text"]))
     taken: dict[str, list] = {}
     for r in rows:
         own = taken.setdefault(r["lang"], [])
-        if len(own) < TRAIN_TEXTS:
+        if len(own) < most:
             own.append(r["text"])
     pairs = [(t, lang) for lang, own in sorted(taken.items()) for t in own]
     if not pairs:
