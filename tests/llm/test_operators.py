@@ -131,6 +131,18 @@ def test_decontamination(spark, docs, odd, empty):
     assert dc.decontaminate(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_rows_with_equal_ids_in_blocks(spark, monkeypatch):
+    leak, clean = "one two three four five six seven eight nine ten eleven twelve thirteen", "a b c d e f g h i j k l m"
+    texts = [(None, leak), (None, clean), (7, leak), (7, clean), (7, clean), (8, leak), (None, None), (7, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, leak), (2, "n o p"), (3, "seven eight nine")], "item_id long, text string")
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = rows(dc.decontaminate(docs, bench), *names)
+    assert sum(r[-1] for r in want) == 3 and want == sorted(brute.decontaminated(texts, [tuple(r) for r in bench.collect()]), key=repr)
+    monkeypatch.setattr(dc, "BLOCK_WORDS", 4)
+    assert rows(dc.decontaminate(docs, bench), *names) == rows(dc.decontaminate(docs.repartition(3), bench), *names) == want
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red a b fox"), (2, "fox red"), (3, "red a b c d e f fox"), (4, "red"), (5, None)], "doc_id long, text string")
     found = dc.proximity_matches(dc.build_index(docs), [(7, "Fox red"), (8, ""), (9, "absent")], 4)

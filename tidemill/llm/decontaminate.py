@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,13 +28,14 @@ WINDOW = 13
 #: Query words that go to the executors at once; more are taken in blocks.
 BLOCK_WORDS = 1 << 20
 
-_SEGMENT = "ids array<long>, n_words array<long>, terms binary, counts binary, positions binary"
-_HITS = "id long, n_words long, spans array<struct<begin:long,end:long>>, items array<long>"
+_SEGMENT = "segment long, ids array<long>, n_words array<long>, terms binary, counts binary, positions binary"
+_HITS = "segment long, place int, id long, n_words long, spans array<struct<begin:long,end:long>>, items array<long>"
 
 
 def _index(id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, piece in pieces(batches, text_col):
+        task = TaskContext.get().partitionId() << 32
+        for k, (rows, piece) in enumerate(pieces(batches, text_col)):
             w = words(piece, "alnum")
             order = np.argsort(w.hash, kind="stable").astype(np.uint32)
             terms = w.hash[order]
@@ -44,17 +46,18 @@ def _index(id_col: str, text_col: str):
             gaps[begin] = order[begin]
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([task + k], pa.int64()),
                     pa.array([rows.column(id_col).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(w.first)], pa.list_(pa.int64())),
                     pa.array([terms[begin].tobytes()], pa.binary()), pa.array([pack(counts)], pa.binary()), pa.array([pack(gaps)], pa.binary()),
                 ],
-                ["ids", "n_words", "terms", "counts", "positions"],
+                ["segment", "ids", "n_words", "terms", "counts", "positions"],
             )
 
     return run
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index of every word of every text; a null text has no words."""
+    """The stored index of every word of every text, in numbered segments; a null text has no words."""
     return stage(docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(_index(id_col, text_col), _SEGMENT), "index")
 
 
@@ -186,18 +189,20 @@ def _search(broadcast):
                     ends.append(p + width)
                     items.append(item[q])
                 doc, begin, end, item = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, begins, ends, items))
-                out = {k: [] for k in ("id", "n_words", "spans", "items")}
+                out = {k: [] for k in ("segment", "place", "id", "n_words", "spans", "items")}
                 order = np.argsort(doc, kind="stable")
                 doc, begin, end, item = doc[order], begin[order], end[order], item[order]
                 cut = np.searchsorted(doc, np.arange(len(s.ids) + 1))
                 for d, name in enumerate(s.ids):
                     lo, hi = cut[d], cut[d + 1]
                     b, e = _union(begin[lo:hi], end[lo:hi]) if hi > lo else (begin[:0], end[:0])
+                    out["segment"].append(row["segment"])
+                    out["place"].append(d)
                     out["id"].append(name)
                     out["n_words"].append(int(s.n_words[d]))
                     out["spans"].append([{"begin": int(x - s.first[d]), "end": int(y - s.first[d])} for x, y in zip(b, e, strict=True)])
                     out["items"].append(np.unique(item[lo:hi]).tolist())
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("segment", pa.int64()), ("place", pa.int32()), ("id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))]))
 
     return run
 
@@ -252,12 +257,13 @@ def phrase_hits(index: DataFrame, items: DataFrame, id_col: str = "item_id", tex
         sent = spark.sparkContext.broadcast(windows(ids, texts, width))
         passes.append(index.mapInArrow(_search(sent), _HITS))
     if len(passes) == 1:
-        return passes[0]
-    parts = stage(passes[0].withColumn("part", F.lit(0)), "hits")
-    for k, p in enumerate(passes[1:], 1):
-        parts = parts.unionByName(stage(p.withColumn("part", F.lit(k)), "hits"))
-    # Repeated rows of a document have the same id: each block names them in the same order.
-    return parts.groupBy("id", "n_words").agg(F.count_if(F.col("part") == 0).alias("copies"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")).withColumn("spans", _merged("spans")).selectExpr("explode(sequence(1, copies)) AS copy", "id", "n_words", "spans", "items").drop("copy")
+        return passes[0].drop("segment", "place")
+    parts = stage(passes[0], "hits")
+    for p in passes[1:]:
+        parts = parts.unionByName(stage(p, "hits"))
+    # A row is its segment and its place in it: ids may be null or repeated.
+    rows = parts.groupBy("segment", "place", "id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.select("id", "n_words", _merged("spans").alias("spans"), "items")
 
 
 def _merged(spans: str) -> F.Column:
