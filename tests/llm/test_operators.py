@@ -323,6 +323,16 @@ def test_held_out_accuracy(spark):
     assert right >= 0.98 * n
 
 
+def test_copies_of_a_url_are_one_to_learn(spark, monkeypatch):
+    urls = [f"http://example.{x}/{i}" for x in ("net/en", "com/de") for i in range(10)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(u for i, u in enumerate(urls) for _ in range(1 + i % 2 * 50))], "page_id long, url string")
+    seen = []
+    monkeypatch.setattr(uf, "TRAIN_URLS", len(urls))
+    monkeypatch.setattr(uf, "learn", lambda u, blocked, learn=uf.learn: seen.extend(zip(u, blocked, strict=True)) or learn(u, blocked))
+    assert uf.filter_urls(pages, uf.RULES).count() == pages.count()
+    assert sorted(seen) == sorted((u, "/de/" in u) for u in urls)
+
+
 def test_urls(spark):
     urls = [
         (1, "http://A.Example.NET/en/x?y#z", "a.example.net", "/en/x", "example.net/en/", "allow"), (2, "https://x.net/q", "x.net", "/q", "net/", "block"), (3, "https://x.net", "x.net", "", None, None),

@@ -171,14 +171,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "p
     ``verdict`` is that of the rule, or else ``block`` where the trees give a
     probability of 0.5 or more, and ``allow``. A null URL or one without
     ``://`` has an empty host and path, no rule, and is judged by its text.
-    The trees learn from at most TRAIN_URLS URLs that rules decide, those of
-    the least hashes; with none, everything else is allowed. Repeated rows and
+    The trees learn from at most TRAIN_URLS different URLs that rules decide,
+    those of the least hashes; with none, everything else is allowed. Repeated rows and
     null ids are judged like others. Other columns aren't looked at.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host("url"), "path": path("url")}).withColumn("rule", rule_of(rules))
     verdicts = {r: v for v, r in reversed(rules)}
-    labelled = rows.where("rule IS NOT NULL").select("url", "rule").orderBy(F.xxhash64("url"), "url").limit(TRAIN_URLS).collect()
+    labelled = rows.where("rule IS NOT NULL").select("url", "rule").distinct().orderBy(F.xxhash64("url"), "url").limit(TRAIN_URLS).collect()
     model = learn([r["url"] for r in labelled], [verdicts[r["rule"]] == "block" for r in labelled]) if labelled else None
     if model:
         judged = rows.mapInArrow(_judge(spark.sparkContext.broadcast(model)), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, p_block double")
