@@ -124,6 +124,19 @@ def test_archives(spark, tmp_path):
     assert [r["archive"].rsplit("/", 1)[1] for r in got if r["status"] != "ok"] == ["bad.zip"]
 
 
+def test_archives_too_deep(spark, tmp_path):
+    data = b"deep"
+    for name in ("deep.txt", "c.zip", "b.zip", "a.zip"):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            z.writestr(name, data)
+        data = held.getvalue()
+    (tmp_path / "top.zip").write_bytes(data)
+    levels = lambda n: [(r["archive"].rsplit("/", 1)[1], r["entry"], r["status"].split(":")[0]) for r in files.archive_entries(spark, str(tmp_path), n).collect()]
+    assert levels(2) == [("top.zip", "a.zip", "ok"), ("top.zip!a.zip", "b.zip", "ok"), ("top.zip!a.zip!b.zip", None, "quarantine")]
+    assert levels(4)[-1] == ("top.zip!a.zip!b.zip!c.zip", "deep.txt", "ok") and len(levels(4)) == 4
+
+
 def test_project_root(tmp_path):
     (tmp_path / "pyproject.toml").write_text("")
     (tmp_path / "a" / "b").mkdir(parents=True)

@@ -176,8 +176,9 @@ def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def archive_entries(spark: SparkSession, path: str, most_levels: int = 32, **exclusions) -> DataFrame:
     """``(archive, entry, length, status)`` of ZIP archives under ``path`` and, level by level, of archives in them.
 
-    A nested archive's path is ``outer.zip!inner.zip``; a path is opened once,
-    so it ends. Nothing is written beside the archives.
+    A nested archive's path is ``outer.zip!inner.zip``; a path is opened once.
+    An archive may hold itself, so archives nested deeper than ``most_levels``
+    stay closed, each with a quarantine row of its own. Nothing is written beside the archives.
     """
     found = None
     now = _binary(spark, path, True, None).where(wanted_archive(F.col("path"), **exclusions) & F.col("path").endswith(".zip")).select("path", "content")
@@ -186,8 +187,9 @@ def archive_entries(spark: SparkSession, path: str, most_levels: int = 32, **exc
         found = level.drop("content") if found is None else found.unionByName(level.drop("content"))
         now = level.where("content IS NOT NULL").select(F.concat("archive", F.lit("!"), "entry").alias("path"), "content")
         if now.isEmpty():
-            break
-    return found
+            return found
+    closed = F.lit(f"quarantine: deeper than {most_levels} levels").alias("status")
+    return found.unionByName(now.select(F.col("path").alias("archive"), F.lit(None).cast("string").alias("entry"), F.lit(None).cast("long").alias("length"), closed))
 
 
 class ProjectPath:
