@@ -54,6 +54,49 @@ def test_decisions(spark, index):
     assert ap.suggest(5, 0.9, ap.PRESETS["normal"]) == ap.Thresholds(0.6100000000000001, 0.1, False, False, 0.35)
 
 
+def test_decisions_by_neighbours(spark, tmp_path):
+    """The registered query against numpy: exact items and others, too uncommon, too unlike, outliers, and what passes."""
+    from tidemill.queries import QUERIES
+
+    r = np.random.default_rng(3)
+    table = {i: r.normal(1.0, 0.4, 16).astype(np.float32) for i in range(800)}
+    for i in (100, 250, 300, 350):
+        table[i] = r.normal(0.0, 1.0, 16).astype(np.float32)
+    spark.createDataFrame([(i, [float(x) for x in v]) for i, v in table.items()], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    unit = lambda v: v.astype(float) / np.linalg.norm(v.astype(float))
+    items = sorted((f"x{name(i)}", i) for i in table)
+    names, matrix, freq = [x for x, _ in items], np.stack([unit(table[i]) for _, i in items]), [float(np.float32((i % 16 + 1) / 100)) for _, i in items]
+    k = 20
+    away = 1 - matrix @ matrix.T
+    np.fill_diagonal(away, np.inf)
+    near = np.argsort(away, axis=1, kind="stable")[:, :k]
+    far = np.take_along_axis(away, near, 1)[:, -1]
+    density = 1 / (np.maximum(far[near], np.take_along_axis(away, near, 1)).mean(axis=1) + 1e-10)
+    bound = np.percentile(density[near].mean(axis=1) / density, 95)
+    got, reasons = {x["item"]: x for x in QUERIES["appropriate_similar"](spark, str(tmp_path)).collect()}, set()
+    assert len(got) == 2 * 16
+    for i in range(0, 800, 50):
+        for known in (True, False):
+            v = table[i].copy()
+            v[: 0 if known else 2 * (i // 50 % 4)] *= -1
+            like = matrix @ unit(v)
+            order = np.argsort(-like, kind="stable")
+            own = 1 / (np.maximum(far[order[:k]], 1 - like[order[:k]]).mean() + 1e-10)
+            odd = bool(density[order[:k]].mean() / own > bound)
+            item = ("x" if known else "y") + name(i)
+            around = [j for j in order if names[j] != item]
+            at = names.index(item) if known else order[0]
+            sim, f = 1.0 if known else float(like[at]), freq[at]
+            score = (0.8 * max(0.0, min(1.0, sim)) + 0.2 * min(1, math.log1p(10 * f) / math.log1p(10))) * (0.25 + 0.75 * f / 0.04 if f < 0.04 else 1) * (0.7 if odd else 1)
+            x = got[item]
+            assert (x["best_match"], x["outlier"], x["neighbors"]) == (names[at], odd, [names[j] for j in around[:5]]), item
+            assert x["score"] == pytest.approx(score, abs=2e-6) and x["best_similarity"] == pytest.approx(sim, abs=2e-6)
+            assert x["decision"] == (ap.YES if f >= 0.04 and (known or sim >= 0.56) and not odd else ap.NO)
+            reasons.add(x["reason"].split("(")[0].split("'")[0].strip())
+    assert {"exact match; too uncommon", "exact match; passes thresholds", "embedding outlier vs reference set", "low similarity to known items", "similar to", "too uncommon in dataset"} <= reasons
+
+
 def test_replies():
     assert ap.parse_reply('{"p": 0.3, "reason": "x"}') == (0.3, "x") and ap.parse_reply('```json\n{"p": 0.3, "reason": "a } b"}\n```') == (0.3, "a } b")
     assert ap.parse_reply('{"p": 7}') == (1.0, "") and ap.parse_reply("probability 0.25") == (0.25, "LLM parsing fallback") and ap.parse_reply("no number") is None

@@ -309,6 +309,20 @@ def appropriate_score(spark, sf):
     return _judged(spark, sf).select("item", F.round("score", 6).alias("score"))
 
 
+@query()
+def appropriate_similar(spark, sf):
+    """Known items, and others whose vectors are more or less like theirs, by neighbours, frequencies and outlier factors."""
+    name = F.translate(F.col("vec_id").cast("string"), "0123456789", "abcdefghij")
+    vectors = read(spark, sf, "embeddings").where("vec_id IS NOT NULL")
+    index = vectors.select(F.concat(F.lit("x"), name).alias("item"), ((F.col("vec_id") % 16 + 1) / 100).cast("float").alias("freq"), "embedding")
+    some = vectors.where("vec_id % 50 = 0")
+    turned = F.transform("embedding", lambda x, i: F.when(i * 8 < F.size("embedding") * (F.col("vec_id") / 50 % 4), -x).otherwise(x))
+    asked = some.select(F.concat(F.lit("x"), name).alias("item"), "embedding").unionByName(some.select(F.concat(F.lit("y"), name).alias("item"), turned.alias("embedding")))
+    odd = neighbors.outlier_factors(index, asked.withColumnRenamed("item", "query"))
+    found = appropriate.evaluate(asked, index, appropriate.PRESETS["normal"], explain=True, outliers=odd)
+    return found.select("item", "decision", F.round("score", 6).alias("score"), "reason", "best_match", F.round("best_similarity", 6).alias("best_similarity"), "outlier", F.col("neighbors.item").alias("neighbors"))
+
+
 @query("SELECT event_id, least(1, greatest(0, (json_extract(props, '$.k')::DOUBLE) / 100)) AS p FROM events")
 def llm_json_parse(spark, sf):
     said = F.from_json("props", "k double")["k"] / 100
