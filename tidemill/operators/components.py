@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.staging import stage
+from tidemill.staging import release, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,9 +27,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("src", F.col("least").alias("dst"))).distinct()
 
 
-def _sign(edges: DataFrame) -> tuple:
-    mark = F.xxhash64("src", "dst").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count("*"), F.sum(mark)).first())
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node points to one other, which points to none."""
+    ends = stars.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(stars.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where(F.col("out") + F.col("into") > 1).isEmpty()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -39,14 +40,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     without an edge to another node don't appear.
     """
     now = stage(_small_star(edges.select("src", "dst").where("src != dst").distinct()), "stars")
-    sign = _sign(now)
     for _ in range(max_rounds):
-        if not sign[0]:
-            break
-        now = stage(_small_star(_large_star(now)), "stars")
-        before, sign = sign, _sign(now)
-        if before == sign:
+        if _settled(now):
             break
+        before, now = now, stage(_small_star(_large_star(now)), "stars")
+        release(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
