@@ -12,27 +12,29 @@ first D + 1 of either: up to where the earlier one stops, it has D + 1 such
 blocks, and one of them has no difference.) Documents with too few such blocks
 send single shingles too, D + 1 of them, in a name space of their own.
 
-What comes first may be any order of contents that all documents share. Contents
-that very many documents have come last, by counts of all contents in a sketch
-of fixed size: documents that share a passage and little else send what is
-theirs alone. The counts may be too large; that changes which blocks are sent,
-never what is found.
-
-Candidates are held against each other's sizes and sketches, and what is left
-against the sets themselves. Blocks with few documents give all their pairs.
-Blocks with many give pairs with a pivot. After those are settled, only pairs
-across components are still open. Large blocks with the same smallest id have
-mostly the same members, so they are taken together as a group, whose members
-are held against each other by their sketches, in tiles of bounded size: first the pairs of a least spanning forest of each tile, which connect
-what is linked, then all pairs between components still apart that the sketches
-allow. Nothing is capped: each pair of different texts that the pigeonhole
-finds is linked, known to be connected, or refuted.
+What comes first may be any order of contents that all documents share. It is
+from rare to common, by counts of all contents in a sketch of fixed size:
+documents that share a passage and little else mostly send what is theirs alone.
+The counts may be too large; that changes which blocks are sent, never what is
+found.
+
+Documents with equal sets, which 128 bits tell, are one node: the one with the
+smallest id stands for the others from the join on. Candidates are held against
+each other's sizes and sketches, and what is left against the sets themselves.
+Blocks with few documents give all their pairs. Blocks with more give pairs with
+a pivot. After those are settled, only pairs across components are still open.
+Such blocks with the same smallest id have mostly the same members, so they are
+taken together as a group: a member's sketch is sent to the group once, not once
+for each pair. There members are held against each other by their sketches, in
+tiles of bounded size: first the pairs of a least spanning forest of each tile,
+which connect what is linked, then all pairs between components still apart that
+the sketches allow. Nothing is capped: each pair of different sets that the
+pigeonhole finds is linked, known to be connected, or refuted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -44,22 +46,25 @@ from tidemill.llm.packing import pack, unpack
 from tidemill.llm.shingles import Sets, shingle_sets
 from tidemill.llm.textkernel import mix, pieces
 from tidemill.operators.components import connected_components
-from tidemill.staging import parallelism, stage
+from tidemill.staging import parallelism, release, setting, stage
 
 #: A link: 100 * intersection >= SHARE * union.
 SHARE = 75
-#: Documents that a block may have for all its pairs to be taken at once.
-SMALL_RUN = 24
+#: Documents that a block may have for all its pairs to be taken at once: beyond, a group ships fewer sketches than pairs do.
+SMALL_RUN = 6
 #: Members of a larger block that are held against each other in a task, on average.
 TILE = 1 << 14
 #: Pairs that a tile holds before it takes their forest.
 HELD_PAIRS = 1 << 20
 #: 64-bit words of the filter of ids; 8 MB.
 FILTER_WORDS = 1 << 20
-#: Counters of how many documents have a content, and the slices in which tasks' counters are added up.
-COUNTERS, SLICES = 1 << 18, 64
+#: Counters of how many documents have a content, a byte each when sent, and the slices in which tasks' counters are added up.
+COUNTERS, SLICES = 1 << 22, 64
+#: Bits of a signature beside its shard, and bytes of text that a shard stands for at most.
+KEY_BITS, SHARD_BYTES = 40, 1 << 28
 
-_ASK = "shard int, ids binary, sizes binary, keys binary"
+_ASK = "shard int, ids binary, sizes binary, keys binary, owners binary"
+_SKETCH = "id long, n long, x long, y long, sketch binary"
 _FOUND = "large boolean, a long, b long"
 
 
@@ -127,10 +132,10 @@ def _count(share: int, width: int, text_col: str):
     """Counters of a task's contents, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(COUNTERS, np.int64)
+        held = np.zeros(COUNTERS, np.uint32)
         for _, piece in pieces(batches, text_col):
             _, sig = _blocks(shingle_sets(piece, width), share, every=True)
-            held += np.bincount((sig & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            np.add.at(held, (sig & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
         yield _slices(held.reshape(SLICES, -1), np.flatnonzero(held.reshape(SLICES, -1).any(axis=1)))
 
     return run
@@ -144,32 +149,34 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            held[k] = held.get(k, 0) + unpack(counts, np.int64)
+            own = unpack(counts, np.uint32).astype(np.uint64)
+            held[k] = held[k] + own if k in held else own
     if held:
         which = sorted(held)
-        yield _slices(np.stack([held[k] for k in which]), np.arange(len(which))).set_column(0, "slice", pa.array(which, pa.int32()))
+        for k in which:
+            yield _slices(held[k][None, :], np.zeros(1, np.int64)).set_column(0, "slice", pa.array([k], pa.int32()))
 
 
 def _send(shards: int, share: int, width: int, id_col: str, text_col: str, classes):
-    """Signatures by shard: 48 bits and 16 for which of the documents beside them."""
+    """Signatures by shard: KEY_BITS of each, ascending, and which of the documents beside them it is of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, piece in pieces(batches, text_col):
             sets = shingle_sets(piece, width)
             ids, sizes = rows.column(id_col).to_numpy(), sets.sizes()
             owner, sig = _blocks(sets, share, classes.value)
-            order = np.argsort(sig)
-            owner, sig = owner[order], sig[order]
             shard = ((sig >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-            cut = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+            keys = mix(sig) >> np.uint64(64 - KEY_BITS)
+            order = np.lexsort((keys, shard))
+            owner, keys = owner[order], keys[order]
+            cut = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
             out = []
             for s in np.flatnonzero(np.diff(cut)):
                 own = slice(cut[s], cut[s + 1])
                 docs, which = np.unique(owner[own], return_inverse=True)
-                keys = mix(sig[own]) & ~np.uint64(0xFFFF) | which.astype(np.uint64)
-                out.append((int(s), pack(np.diff(ids[docs], prepend=0)), pack(sizes[docs].astype(np.uint32)), keys.tobytes()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int32()), *(pa.array(list(c), pa.binary()) for c in cols[1:])], ["shard", "ids", "sizes", "keys"])
+                out.append((int(s), pack(np.diff(ids[docs], prepend=0)), pack(sizes[docs].astype(np.uint32)), pack(np.diff(keys[own], prepend=np.uint64(0))), pack(which.astype(np.uint16))))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int32()), *(pa.array(list(c), pa.binary()) for c in cols[1:])], ["shard", "ids", "sizes", "keys", "owners"])
 
     return run
 
@@ -189,11 +196,10 @@ def _join(share: int):
         ids, sizes, keys, refs, base = [], [], [], [], 0
         for rows in batches:
             for r in rows.to_pylist():
-                k = np.frombuffer(r["keys"], np.uint64)
                 ids.append(np.cumsum(unpack(r["ids"], np.int64)))
                 sizes.append(unpack(r["sizes"], np.uint32).astype(np.int64))
-                keys.append(k >> np.uint64(16))
-                refs.append((k & np.uint64(0xFFFF)).astype(np.int64) + base)
+                keys.append(np.cumsum(unpack(r["keys"], np.uint64)))
+                refs.append(unpack(r["owners"], np.uint16).astype(np.int64) + base)
                 base += len(ids[-1])
         if not ids:
             return
@@ -231,20 +237,24 @@ def _join(share: int):
 
 
 def _sketch(width: int, id_col: str, text_col: str):
-    """id, n and a parity sketch of 2n to 4n bits, a power of two and 64 at least."""
+    """id, n, 128 bits of the set, and a parity sketch of n to 2n bits, a power of two and 64 at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, piece in pieces(batches, text_col):
             sets = shingle_sets(piece, width)
             n = sets.sizes()
-            bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+            bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
             base = np.concatenate([[0], np.cumsum(bits)])
             owner = np.repeat(np.arange(len(n)), n)
             at = base[owner] + (sets.hash & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
             parity = (np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8)
             whole = np.packbits(parity, bitorder="little").tobytes()
             cells = [whole[a >> 3 : b >> 3] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(id_col), pa.array(n, pa.int64()), pa.array(cells, pa.binary())], ["id", "n", "sketch"])
+            marks = []
+            for salt in (0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1):
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets.hash ^ np.uint64(salt)))])
+                marks.append(pa.array((total[sets.first[1:]] - total[sets.first[:-1]]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column(id_col), pa.array(n, pa.int64()), *marks, pa.array(cells, pa.binary())], ["id", "n", "x", "y", "sketch"])
 
     return run
 
@@ -400,53 +410,67 @@ def _linked(share: int):
     return run
 
 
-@contextmanager
-def _small_batches(spark: SparkSession, most: int = 4 << 20):
-    """While rows carry whole sets, which may be long: Arrow batches of at most this many bytes."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(name)
-    spark.conf.set(name, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, held)
-
-
 class _Join:
     def __init__(self, docs: DataFrame, share: int, width: int, id_col: str, text_col: str):
         self.spark, self.share, self.width = docs.sparkSession, share, width
         self.cols = (id_col, text_col)
         self.docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).where(F.col(id_col).isNotNull())
-        self.sketches = stage(self.docs.mapInArrow(_sketch(width, *self.cols), "id long, n long, sketch binary"), "sketches")
+        self.sketches = stage(self.docs.mapInArrow(_sketch(width, *self.cols), _SKETCH), "sketches")
+        self.copies = self.equal()
+
+    def equal(self) -> DataFrame:
+        """(node, rep) of documents whose set one with a smaller id has."""
+        key = ["n", "x", "y"]
+        some = self.sketches.where("n > 0").select("id", *key)
+        reps = some.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep != last").select(*key, "rep")
+        return stage(some.join(reps, key).where("id != rep").select(F.col("id").alias("node"), "rep").distinct(), "copies")
+
+    def named(self, df: DataFrame, *columns: str) -> DataFrame:
+        """Ids in these columns as those of the documents that stand for them."""
+        for c in columns:
+            df = df.join(self.copies.select(F.col("node").alias(c), F.col("rep").alias(f"rep {c}")), c, "left").withColumn(c, F.coalesce(f"rep {c}", c)).drop(f"rep {c}")
+        return df
 
     def commonness(self):
-        """By a content's low bits 0, or from twice the mean of all counters on the logarithm of its share in it."""
+        """By a content's low bits how common it is: its counter in quarters of a standard deviation, and far above the mean in eighths of a doubling."""
         counts = self.docs.mapInArrow(_count(self.share, self.width, self.cols[1]), "slice int, counts binary")
-        held = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
-        for row in counts.repartitionById(SLICES, F.col("slice")).mapInArrow(_add_up, "slice int, counts binary").collect():
-            held[row["slice"]] = unpack(row["counts"], np.int64)
-        common = held.ravel() / max(held.mean(), SMALL_RUN)
-        return self.spark.sparkContext.broadcast(np.log2(np.maximum(1, common)).astype(np.uint8))
+        held = np.zeros((SLICES, COUNTERS // SLICES), np.float32)
+        for row in counts.repartitionById(SLICES, F.col("slice")).mapInArrow(_add_up, "slice int, counts binary").toLocalIterator():
+            held[row["slice"]] = unpack(row["counts"], np.uint64)
+        mean = float(held.mean(dtype=np.float64))
+        z = (held.ravel() - np.float32(mean)) / np.float32(max(1.0, mean**0.5))
+        steps = 4 * np.clip(z + 4, 0, 20) + 8 * np.log2(np.maximum(1, z / 16))
+        return self.spark.sparkContext.broadcast(np.minimum(steps, 255).astype(np.uint8))
+
+    def shards(self) -> int:
+        """Of the hash space: those of the session, or as many as keep a shard's part of the texts bounded."""
+        shingles = self.sketches.agg(F.sum("n")).first()[0] or 0
+        return max(parallelism(self.spark), -(-8 * shingles // SHARD_BYTES))
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
-        """(a, b, h) that sizes and sketches allow; (group, id) of large runs."""
-        shards = parallelism(self.spark)
+        """(a, b, h) that sizes and sketches allow; (group, id) of larger runs."""
+        shards = self.shards()
         asks = self.docs.mapInArrow(_send(shards, self.share, self.width, *self.cols, self.commonness()), _ASK)
         found = stage(asks.repartitionById(shards, F.col("shard")).mapInArrow(_join(self.share), _FOUND), "found")
-        pairs = found.where("NOT large").select("a", "b").distinct()
+        pairs = self.named(found.where("NOT large").select("a", "b").distinct(), "a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
         side = lambda k: self.sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
         near = near.mapInArrow(_hamming(self.share), "a long, b long, h long")
-        return stage(near.groupBy("a", "b").agg(F.min("h").alias("h")), "near"), stage(found.where("large").select(F.col("a").alias("group"), F.col("b").alias("id")).distinct(), "groups")
+        near = stage(near.groupBy("a", "b").agg(F.min("h").alias("h")), "near")
+        large = stage(self.named(found.where("large").select(F.col("a").alias("group"), F.col("b").alias("id")).distinct(), "id").select("group", "id").distinct(), "groups")
+        release(found)
+        return near, large
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are linked, by their sets."""
-        pairs = stage(pairs.select("a", "b").distinct(), "pairs")
+        """Those of the pairs (a, b), a staged table, that are linked, by their sets."""
         held = self.filter_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         asked = stage(self.docs.mapInArrow(_sets(self.width, *self.cols, held), "id long, members binary"), "sets")
         side = lambda k: asked.select(F.col("id").alias(k), F.col("members").alias(f"m{k}"))
-        with _small_batches(self.spark):
-            return stage(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "mb").mapInArrow(_linked(self.share), "a long, b long"), "links")
+        # Rows carry whole sets, which may be long: small Arrow batches.
+        with setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)):
+            out = stage(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "mb").mapInArrow(_linked(self.share), "a long, b long"), "links")
+        release(asked)
+        return out
 
     def filter_of(self, ids: DataFrame):
         """A filter of fixed size that lets all these ids through."""
@@ -462,7 +486,7 @@ class _Join:
         return named.select("a", "b", "h", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca != cb")
 
     def tiles(self, large: DataFrame, label: DataFrame, nearest: bool) -> DataFrame:
-        """Pairs across components inside groups of large runs that sizes and sketches allow."""
+        """Pairs across components inside groups of larger runs that sizes and sketches allow."""
         named = large.join(label.withColumnRenamed("node", "id"), "id", "left").select("group", "id", F.coalesce("component", "id").alias("label"))
         named = stage(named, "members")
         still = named.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("blocks")).where("lo != hi")
@@ -472,7 +496,7 @@ class _Join:
         return rows.groupBy("group", "i", "j").applyInPandas(_tile(self.share, nearest), "a long, b long, h long, ca long, cb long")
 
     def components(self) -> DataFrame:
-        """(node, component) of documents with links."""
+        """(node, component) of documents that stand for others and have links."""
         near, large = self.candidates()
         tried = stage(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
         links = self.verified(tried)
@@ -503,10 +527,10 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, width: int = 5, id_col:
     """
     join = _Join(docs, share, width, id_col, text_col)
     label = join.components()
-    known = join.sketches.select("id", "n").join(label.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    known = join.named(join.sketches.select("id", "n", F.col("id").alias("node")), "node").join(label, "node", "left")
+    known = known.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     nameless = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).where(F.col(id_col).isNull())
-    nameless = nameless.mapInArrow(_sketch(width, id_col, text_col), "id long, n long, sketch binary")
+    nameless = nameless.mapInArrow(_sketch(width, id_col, text_col), _SKETCH)
     return known.unionByName(nameless.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
