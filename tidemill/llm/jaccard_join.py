@@ -422,7 +422,8 @@ class _Join:
         """(node, rep) of documents whose set one with a smaller id has."""
         key = ["n", "x", "y"]
         some = self.sketches.where("n > 0").select("id", *key)
-        reps = some.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep != last").select(*key, "rep")
+        # Written, so that the join has an exchange of its own, which may be split where one set is very frequent.
+        reps = stage(some.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep != last").select(*key, "rep"), "reps")
         return stage(some.join(reps, key).where("id != rep").select(F.col("id").alias("node"), "rep").distinct(), "copies")
 
     def named(self, df: DataFrame, *columns: str) -> DataFrame:
