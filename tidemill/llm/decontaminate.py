@@ -99,15 +99,24 @@ class Segment:
     def document(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, positions, side="right") - 1
 
-    def phrases(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``queries``: a row of hashes each. Pairs (query, first position) of all exact occurrences."""
-        width = queries.shape[1]
-        t = self.term(queries)
-        here = np.flatnonzero((t >= 0).all(axis=1))
-        t = t[here]
-        order = np.argsort(self.counts[t], axis=1, kind="stable") if len(here) else t
-        if not len(here):
-            return here, here
+    def phrases(self, queries: Queries) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By width: pairs (item, first position) of all exact occurrences of windows.
+
+        Each distinct term is looked up once; only windows that have all their
+        terms here are intersected, from the rarest on.
+        """
+        here = self.term(queries.terms)[queries.words]
+        missing = np.concatenate([[0], np.cumsum(here < 0)])
+        for width, (start, item) in queries.by_width.items():
+            alive = np.flatnonzero(missing[start + width] == missing[start])
+            if len(alive):
+                whose, p = self._occurrences(here[start[alive][:, None] + np.arange(width)])
+                yield width, item[alive[whose]], p
+
+    def _occurrences(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``t``: a row of terms each. Pairs (row, first position)."""
+        width = t.shape[1]
+        order = np.argsort(self.counts[t], axis=1, kind="stable")
         rarest = np.take_along_axis(t, order, 1)
         p, whose = self.postings(rarest[:, 0])
         p = p - order[whose, 0]
@@ -117,7 +126,7 @@ class Segment:
         one = (p >= 0) & (p + width <= self.first[-1])
         p, whose = p[one], whose[one]
         inside = self.document(p) == self.document(p + width - 1)
-        return here[whose[inside]], p[inside]
+        return whose[inside], p[inside]
 
     def near(self, hashes: np.ndarray, within: int) -> np.ndarray:
         """Documents that have all the terms, in any order, inside ``within`` consecutive words."""
@@ -145,24 +154,25 @@ class Segment:
 
 @dataclass
 class Queries:
-    """Windows of some items: by width, hashes (n, width) and the item of each."""
+    """The distinct terms of some items, their words as places among the terms, and by width the windows: where each starts and its item."""
 
+    terms: np.ndarray
+    words: np.ndarray
     by_width: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def windows(ids: list[int], texts: list[str | None], width: int = WINDOW) -> Queries:
+def windows(ids: list, texts: list[str | None], width: int = WINDOW) -> Queries:
     """All runs of ``width`` words of each text; of one with fewer words, but not none, all of them."""
     w = words(piece_of(pa.array(texts, pa.string())), "alnum")
-    found: dict[int, tuple[list, list]] = {}
+    terms, places = np.unique(w.hash, return_inverse=True)
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for i, item in enumerate(ids):
-        own = w.hash[w.first[i] : w.first[i + 1]]
-        n = min(width, len(own))
+        lo, hi = int(w.first[i]), int(w.first[i + 1])
+        n = min(width, hi - lo)
         if n and item is not None:
-            rows = np.unique(np.lib.stride_tricks.sliding_window_view(own, n), axis=0)
-            k = found.setdefault(n, ([], []))
-            k[0].append(rows)
-            k[1].append(np.full(len(rows), item, np.int64))
-    return Queries({n: (np.concatenate(h), np.concatenate(i)) for n, (h, i) in found.items()})
+            start = np.arange(lo, hi - n + 1)
+            found.setdefault(n, []).append((start, np.full(len(start), item, np.int64)))
+    return Queries(terms, places, {n: tuple(map(np.concatenate, zip(*own, strict=True))) for n, own in found.items()})
 
 
 def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,12 +192,11 @@ def _search(broadcast):
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
                 s = Segment(row)
                 docs, begins, ends, items = [], [], [], []
-                for width, (hashes, item) in queries.by_width.items():
-                    q, p = s.phrases(hashes)
+                for width, item, p in s.phrases(queries):
                     docs.append(s.document(p))
                     begins.append(p)
                     ends.append(p + width)
-                    items.append(item[q])
+                    items.append(item)
                 doc, begin, end, item = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, begins, ends, items))
                 out = {k: [] for k in ("segment", "place", "id", "n_words", "spans", "items")}
                 order = np.argsort(doc, kind="stable")

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.textkernel import Piece, piece_of, pieces
 
-#: Training texts of a language, their longest size in bytes, and the languages that get so many: the bounds of what the driver gets.
-TRAIN_TEXTS, TRAIN_BYTES, LANGUAGES = 300, 1 << 16, 64
+#: Training texts of a language, their longest size in bytes, the languages that get so many, and the bytes of all training texts, a fifth more being drawn: the bounds of what the driver gets.
+TRAIN_TEXTS, TRAIN_BYTES, LANGUAGES, ALL_BYTES = 300, 1 << 16, 64, 1 << 26
 #: Languages at most; from LANGUAGES on each has fewer training texts.
 MOST_LANGUAGES = 512
 #: Landmarks in all, of a language at least, and the ridge. Every n-gram of a landmark is looked for.
@@ -147,30 +147,34 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: Column | None = None) -> Model:
     """Fit on a bounded sample of the labelled rows that aren't held out.
 
-    For each label about TRAIN_TEXTS rows, those of the least hashed ids, of at
-    most TRAIN_BYTES bytes; of a label that has only longer texts, their
-    beginnings. With more than LANGUAGES labels each has so many fewer rows, the
-    sample's bound; more than MOST_LANGUAGES are an error. Without a labelled
-    text the model has no languages.
+    For each label about TRAIN_TEXTS different texts, those of the least hashes
+    of id and text, of at most TRAIN_BYTES bytes; of a label that has only
+    longer texts, their beginnings. Rows that repeat id and text count as one,
+    so any number of them may share an id or have none. With more than LANGUAGES
+    labels each has so many fewer texts, and so has a label whose texts would be
+    more than its share of ALL_BYTES; more than MOST_LANGUAGES labels are an
+    error. Without a labelled text the model has no languages.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.coalesce(held_out, F.lit(False)).alias("held") if held_out is not None else F.lit(False).alias("held"))
-    known = known.where("lang IS NOT NULL AND text != '' AND NOT held").withColumn("short", F.octet_length("text") <= TRAIN_BYTES)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("short").alias("short")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    known = known.where("lang IS NOT NULL AND text != '' AND NOT held").withColumns({"short": F.octet_length("text") <= TRAIN_BYTES, "mark": F.xxhash64(F.lit(5), "id", "text")})
+    brief = F.when(F.col("short"), F.col("mark"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n"), F.approx_count_distinct(brief).alias("short"), F.avg(F.when(F.col("short"), F.octet_length("text"))).alias("size")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} labels")
     if not counts:
         return Model([], [])
-    most = TRAIN_TEXTS if len(counts) <= LANGUAGES else max(1, TRAIN_TEXTS * LANGUAGES // len(counts))
-    spot = (F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 40)) / float(1 << 40)).alias("spot")
-    share = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, max(40.0, 1.2 * most) / (r["short"] or r["n"]))))), F.col("lang"))
+    often = TRAIN_TEXTS if len(counts) <= LANGUAGES else max(1, TRAIN_TEXTS * LANGUAGES // len(counts))
+    most = {r["lang"]: max(1, min(often, int(ALL_BYTES / len(counts) / (r["size"] if r["short"] else TRAIN_BYTES)))) for r in counts}
+    spot = (F.pmod("mark", F.lit(1 << 40)) / float(1 << 40)).alias("spot")
+    share = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, max(40.0, 1.2 * most[r["lang"]]) / max(1, r["short"] or r["n"]))))), F.col("lang"))
     long = [r["lang"] for r in counts if not r["short"]]
     picked = known.where(F.col("short") | F.col("lang").isin(long)).where(spot <= share)
     text = F.when(F.col("short"), F.col("text")).otherwise(F.substring("text", 1, TRAIN_BYTES // 4)).alias("text")
-    rows = sorted(picked.select("lang", text, spot).collect(), key=lambda r: (r["spot"], r["lang"], r["text"]))
+    rows = sorted(picked.select("lang", text, spot).distinct().collect(), key=lambda r: (r["spot"], r["lang"], r["text"]))
     taken: dict[str, list] = {}
     for r in rows:
         own = taken.setdefault(r["lang"], [])
-        if len(own) < most:
+        if len(own) < most[r["lang"]]:
             own.append(r["text"])
     pairs = [(t, lang) for lang, own in sorted(taken.items()) for t in own]
     if not pairs:

@@ -24,7 +24,7 @@ from tidemill.staging import stage
 BLOCK = 96
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
-_UNIT = "struct<id:bigint,row:bigint,size:bigint,whole:bigint,p:double>"
+_UNIT = "struct<key:bigint,id:bigint,row:bigint,size:bigint,whole:bigint,p:double>"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -53,9 +53,9 @@ def _duel(state: Column, x: Column, seed: int) -> Column:
     a = state["left"]
     gain = F.least((1 - a["p"]) * a["size"], x["p"] * x["size"])
     loss = F.least(a["p"] * a["size"], (1 - x["p"]) * x["size"])
-    chance = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce(a["id"], a["row"]), F.coalesce(x["id"], x["row"])), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    chance = (F.pmod(F.xxhash64(F.lit(seed), a["key"], x["key"]), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     up = chance * (gain + loss) < loss
-    unit = lambda u, p: F.struct(u["id"].alias("id"), u["row"].alias("row"), u["size"].alias("size"), u["whole"].alias("whole"), p.alias("p"))
+    unit = lambda u, p: F.struct(u["key"].alias("key"), u["id"].alias("id"), u["row"].alias("row"), u["size"].alias("size"), u["whole"].alias("whole"), p.alias("p"))
     one, zero = F.lit(1.0), F.lit(0.0)
     # Which of the two is settled, at what, and what remains of the other.
     a_full, a_empty = up & (gain >= (1 - a["p"]) * a["size"]), ~up & (loss >= a["p"] * a["size"])
@@ -66,6 +66,17 @@ def _duel(state: Column, x: Column, seed: int) -> Column:
     return F.struct(F.concat(state["done"], F.array(settled)).alias("done"), rest.alias("left"))
 
 
+def _keyed(rows: DataFrame, seed: int) -> DataFrame:
+    """``key``: a hash of the id, or of the row where the id is null or repeated, so that no key has many rows."""
+    repeated = stage(rows.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("again")), "repeated")
+    if repeated.isEmpty():
+        rows = rows.withColumn("again", F.lit(False))
+    else:
+        rows = rows.join(repeated, "id", "left")
+    alone = F.col("id").isNotNull() & ~F.coalesce("again", F.lit(False))
+    return rows.withColumn("key", F.when(alone, F.xxhash64(F.lit(seed), "id")).otherwise(F.xxhash64(F.lit(seed), F.lit("row"), "row"))).drop("again")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each row of ``docs``: id, size, source_size, target, copies, taken.
 
@@ -75,7 +86,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     whole. ``taken`` is copies * size; documents of no words have no copies.
     A null source is a source. Reruns agree, whatever the layout of files, where
     ids are known and differ; rows with a null or repeated id are told apart by
-    their row, so that reruns agree on the same files. An empty table gives an
+    their row, so that reruns agree on the same files, and one id may have any
+    number of rows. An empty table gives an
     empty result. Other columns aren't looked at.
     """
     rows = stage(
@@ -86,14 +98,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     known = stage(targets.join(counts, F.col("source").eqNullSafe(F.col("own")), "left").drop("own"), "sources")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     known = known.select("rank", F.col("source").alias("own"), "source_size", "target", F.coalesce("units", F.lit(0)).alias("units"), F.floor(rate + 1e-12).alias("whole"), F.greatest(F.lit(0.0), rate - F.floor(rate + 1e-12)).alias("p"))
-    named = rows.join(known, F.col("source").eqNullSafe(F.col("own"))).drop("own", "source")
+    named = _keyed(rows, seed).join(known, F.col("source").eqNullSafe(F.col("own"))).drop("own", "source")
     rounded = (F.col("size") > 0) & (F.col("p") > 0)
-    spot = F.coalesce(F.xxhash64(F.lit(seed), F.when(F.col("id").isNotNull(), F.col("id")).otherwise(F.col("row"))), F.lit(0))
-    units = named.where(rounded).select("rank", F.pmod(spot, F.ceil(F.col("units") / BLOCK)).alias("block"), F.struct("id", "row", "size", "whole", "p").cast(_UNIT).alias("unit"))
+    units = named.where(rounded).select("rank", F.pmod("key", F.ceil(F.col("units") / BLOCK)).alias("block"), F.struct("key", "id", "row", "size", "whole", "p").cast(_UNIT).alias("unit"))
     decided = [named.where(~rounded).select("rank", "id", "row", "size", F.when(F.col("size") > 0, F.col("whole")).otherwise(0).cast("long").alias("copies"))]
     blocks = -(-(known.agg(F.max("units")).first()[0] or 0) // BLOCK)
     while True:
-        array = F.array_sort(F.transform(F.collect_list("unit"), lambda u: F.struct(F.xxhash64(F.lit(seed), F.coalesce(u["id"], u["row"])).alias("order"), u.alias("unit"))))
+        array = F.array_sort(F.transform(F.collect_list("unit"), lambda u: F.struct(u["key"].alias("order"), u.alias("unit"))))
         met = units.groupBy("rank", "block").agg(F.transform(array, lambda x: x["unit"]).alias("units"))
         start = F.struct(F.slice("units", 1, 0).alias("done"), F.element_at("units", 1).alias("left"))
         met = met.select("rank", "block", F.aggregate(F.slice("units", 2, F.greatest(F.size("units") - 1, F.lit(0))), start, lambda s, x: _duel(s, x, seed)).alias("state"))
