@@ -258,6 +258,27 @@ def test_mix(spark, docs, odd, empty):
     assert mx.mix(empty).collect() == []
 
 
+def test_an_id_in_very_many_rows(spark, monkeypatch):
+    docs = spark.range(0, 100_000, 1, 8).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("w " * 3), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    held, staged = mx.stage, []
+    monkeypatch.setattr(mx, "stage", lambda df, label: staged.append((label, held(df, label))) or staged[-1][1])
+    got = mx.mix(docs, share=0.5).agg(F.sum("taken"), F.count("*"), F.max("copies")).first()
+    assert abs(got[0] - 200_000) <= 2 and got[1:] == (100_000, 1)
+    assert all(t.agg(F.max(F.size("state.done"))).first()[0] < 2 * mx.BLOCK for label, t in staged if label == "duels")
+
+
+def test_a_label_whose_rows_share_an_id(spark):
+    rows = spark.range(20_000).select(F.lit(3).alias("doc_id"), F.concat(F.lit("the cat and the dog of the house "), (F.col("id") % 2000).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    few = spark.createDataFrame([(k, f"le chat et la maison dans la rue {k}", "fr") for k in range(50)], "doc_id int, text string, lang string")
+    same = few.limit(1).crossJoin(spark.range(5000)).select("doc_id", F.lit("das haus und der hund").alias("text"), F.lit("de").alias("lang"))
+    for nameless in (False, True):
+        docs = rows.unionByName(few).unionByName(same).withColumn("doc_id", F.lit(None).cast("int") if nameless else F.col("doc_id"))
+        model = li.train(docs)
+        assert model.languages == ["de", "en", "fr"]
+        asked = spark.createDataFrame([(1, "the house of the dog"), (2, "la rue et le chat"), (3, "der hund und das haus")], "doc_id int, text string")
+        assert [r["lang_pred"] for r in li.identify(asked, model).orderBy("doc_id").collect()] == ["en", "fr", "de"]
+
+
 def test_targets_fill_by_weight(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 50)], "source string, size long")
     got = {r["source"]: (r["weight"], r["target"]) for r in mx.source_targets(sizes).collect()}
@@ -328,7 +349,7 @@ def test_copies_of_a_url_are_one_to_learn(spark, monkeypatch):
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(u for i, u in enumerate(urls) for _ in range(1 + i % 2 * 50))], "page_id long, url string")
     seen = []
     monkeypatch.setattr(uf, "TRAIN_URLS", len(urls))
-    monkeypatch.setattr(uf, "learn", lambda u, blocked, learn=uf.learn: seen.extend(zip(u, blocked, strict=True)) or learn(u, blocked))
+    monkeypatch.setattr(uf, "learn", lambda u, h, x, blocked, learn=uf.learn: seen.extend(zip(u, blocked.tolist(), strict=True)) or learn(u, h, x, blocked))
     assert uf.filter_urls(pages, uf.RULES).count() == pages.count()
     assert sorted(seen) == sorted((u, "/de/" in u) for u in urls)
 
@@ -348,6 +369,44 @@ def test_urls(spark):
     assert {r["verdict"] for r in uf.filter_urls(pages, []).collect()} == {"allow"}
 
 
+def test_features(spark):
+    import math
+    from collections import Counter
+    from urllib.parse import urlsplit
+
+    urls = ["http://A.example.net/en/x-1/?a=1&b=2#c", "HTTPS://x.org", "http://x.org/a?b", "no scheme", "", None, "http://é.fr/ü"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").withColumns({"host": uf.host("url"), "path": uf.path("url")})
+    for r in rows.select("*", *(c.alias(k) for k, c in uf.lexical("url").items())).collect():
+        u = r["url"] or ""
+        parts = urlsplit(u) if "://" in u else urlsplit("")
+        assert (r["length"], r["depth"], r["hyphens"], r["secure"]) == (len(u), parts.path.count("/"), u.count("-"), u.lower().startswith("https://"))
+        assert r["parameters"] == len([x for x in parts.query.split("&") if x]) and r["digits"] == sum(c in "0123456789" for c in u) / max(1, len(u))
+    for u, e in zip(urls, uf.entropy(pa.array(urls, pa.string())), strict=True):
+        b = (u or "").encode()
+        assert e == pytest.approx(-sum(k / len(b) * math.log2(k / len(b)) for k in Counter(b).values()) if b else 0)
+
+
+def held_out_quality(spark, sf, part):
+    """Rule-decided URLs judged by trees that learned from those of other hosts or domains: (n, accuracy, precision, recall) of block."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("url").withColumns({"host": uf.host("url"), "path": uf.path("url")}).withColumn("rule", uf.rule_of(uf.RULES))
+    rows = uf.labelled_urls(pages, 5000).select("url", "host", "path", "rule", *(c.alias(k) for k, c in uf.lexical("url").items())).collect()
+    verdicts = {r: v == "block" for v, r in uf.RULES}
+    urls, hosts, y = [r["url"] for r in rows], [(r["host"], r["path"]) for r in rows], np.array([verdicts[r["rule"]] for r in rows])
+    x = np.array([[r[c] for c in uf.SHOWN] for r in rows])
+    fold, said = np.array([part(h) for h, _ in hosts]), np.zeros(len(y), bool)
+    for k in set(fold.tolist()):
+        own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        model = uf.learn([urls[i] for i in rest], [hosts[i] for i in rest], x[rest], y[rest])
+        said[own] = uf.judge(*model, pa.array([urls[i] for i in own]), [hosts[i] for i in own], x[own]) >= 0.5
+    right = int((said & y).sum())
+    return len(y), float((said == y).mean()), right / max(1, int(said.sum())), right / max(1, int(y.sum()))
+
+
+def test_verdicts_on_hosts_that_were_not_learned(spark):
+    n, accuracy, precision, recall = held_out_quality(spark, "/root/testdata/sf0.01", lambda h: zlib.crc32(h.encode()) % 4)
+    assert n > 100 and accuracy >= 0.9, (n, accuracy, precision, recall)
+
+
 def test_trees_learn():
     r = np.random.default_rng(0)
     x = r.normal(size=(2000, len(uf.FEATURES)))
