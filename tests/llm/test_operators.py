@@ -443,20 +443,48 @@ def test_allocation_rules():
 
 
 def test_pipeline(spark):
+    """Each stage against plain Python, on the table as it is and with null ids, repeated ids and rows, and null and empty texts."""
+    from collections import Counter
+
     import corpus_pipeline as cp
 
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    mess = docs.unionByName(docs.limit(5)).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("extra", F.lit(1))
-    for name, function in cp.STAGES[:4]:
-        out = function(spark, docs, sf)
-        assert out.columns == list(cp.COLUMNS), name
-        assert function(spark, mess, sf).count() > 0 and function(spark, docs.where("false"), sf).count() == 0
-    clean = docs.where("doc_id % 7 = 0")
-    assert cp.language(spark, clean, sf).count() == clean.where(F.col("text").rlike(r"\p{L}")).count()
-    kept = cp.near_duplicate(spark, docs, sf).select("doc_id").collect()
-    want = {c for _, n, c in brute.components([(r["doc_id"], r["text"]) for r in docs.collect()])}
-    assert {r[0] for r in kept} == want
+    stages = dict(cp.STAGES)
+    assert list(stages) == ["language", "near_duplicate", "decontamination", "mixing", "sharding"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*cp.COLUMNS)
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    odd = docs.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "source": F.lit(None).cast("string")})
+    mess = docs.unionByName(docs.limit(5)).unionByName(odd).unionByName(odd.withColumn("text", F.lit(None).cast("string"))).unionByName(odd.withColumn("text", F.lit("")))
+    mess = spark.createDataFrame(mess.collect(), docs.schema).withColumn("extra", F.lit(1))
+    bag = lambda rs: Counter(tuple(r) for r in rs)
+    for given in (docs, mess):
+        rows = given.select(*cp.COLUMNS).collect()
+        out = {name: f(spark, given, sf) for name, f in cp.STAGES}
+        assert all(out[name].columns == list(cp.COLUMNS) for name in list(out)[:4])
+        kept = out["language"].collect()
+        assert bag(kept) == bag(r for r in rows if r["text"] and any(c.isalpha() for c in r["text"]))
+        heads = {c for _, _, c in brute.components([(k, r["text"]) for k, r in enumerate(rows)])}
+        near = out["near_duplicate"].collect()
+        assert len(near) == len(heads) and not bag(near) - bag(rows)
+        if given is docs:
+            assert bag(near) == bag(rows[k] for k in {c for _, _, c in brute.components([(r["doc_id"], r["text"]) for r in rows])} for k in [next(i for i, r in enumerate(rows) if r["doc_id"] == k)])
+        dirty = [x[-1] for x in brute.decontaminated([(None, r["text"]) for r in rows], items)]
+        assert any(dirty) and bag(out["decontamination"].collect()) == bag(r for r, d in zip(rows, dirty, strict=True) if not d)
+        words = lambda r: len(brute.SPACED.findall(r["text"] or ""))
+        own, taken, largest = Counter(), Counter(), Counter()
+        for r in rows:
+            own[r["source"]] += words(r)
+            largest[r["source"]] = max(largest[r["source"]], words(r))
+        mixed = out["mixing"].collect()
+        for r in mixed:
+            taken[r["source"]] += words(r)
+        assert all(n <= 2 * bag(rows)[k] for k, n in bag(mixed).items()) and all(words(r) for r in mixed)
+        targets = {r["source"]: r["target"] for r in mx.source_targets(spark.createDataFrame([(s, n) for s, n in own.items()], "source string, size long")).collect()}
+        assert all(abs(taken[s] - t) <= largest[s] / 2 + 1e-6 for s, t in targets.items())
+        placed = out["sharding"].collect()
+        assert Counter(r["doc_id"] for r in placed) == Counter(r["doc_id"] for r in rows) and {r["shard"] for r in placed} == set(range(16))
+    for name, f in cp.STAGES:
+        assert f(spark, docs.where("false"), sf).count() == 0, name
 
 
 @pytest.mark.parametrize("seed", [0, 1, 2])
