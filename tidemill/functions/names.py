@@ -1,15 +1,18 @@
 """Name cleaning as column expressions.
 
-Only Unicode decomposition, user regexes in Python syntax, overlapping
-replacement maps and number spelling need an Arrow UDF; the rest is native.
+Only decomposition that isn't followed by ASCII, user regexes in Python syntax,
+overlapping replacement maps and number spelling need an Arrow UDF; the rest is
+native.
 """
 
 from __future__ import annotations
 
 import logging
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,25 +102,47 @@ def replaced(c: Column, table: Mapping[str, str], regex: bool = False) -> Column
     return _each(lambda s: keys.sub(lambda m: values[m[0]], s))(c)
 
 
+def _folded(s: str, steps: tuple[str, ...]) -> str:
+    greek = str.maketrans(GREEK)
+    for step in steps:
+        s = s.translate(greek) if step == "greek" else unicodedata.normalize("NFKD", s)
+        if step == "ascii":
+            s = s.encode("ascii", "ignore").decode()
+    return s
+
+
+@cache
+def _ascii_of(steps: tuple[str, ...]) -> tuple[dict[str, str], dict[str, str]]:
+    """Characters that the steps turn into one ASCII character, and into several.
+
+    With an ASCII step each character stands for itself: decomposition only
+    reorders marks, which ASCII hasn't.
+    """
+    found = {c: _folded(c, steps) for c in map(chr, range(128, sys.maxunicode + 1)) if c in GREEK or unicodedata.decomposition(c)}
+    return {c: x for c, x in found.items() if len(x) == 1}, {c: x for c, x in found.items() if len(x) > 1}
+
+
+def _to_ascii(c: Column, steps: tuple[str, ...]) -> Column:
+    one, more = _ascii_of(steps)
+    beyond = r"[^\x00-\x7F]"
+    turned = F.translate(c, "".join(one), "".join(one.values()))
+    table = F.create_map(*(F.lit(x) for kv in more.items() for x in kv))
+    spelled = F.array_join(F.transform(F.split(turned, ""), lambda x: F.when(x.rlike(beyond), F.coalesce(F.try_element_at(table, x), x)).otherwise(x)), "")
+    # The few characters beyond ASCII are asked, not the whole text.
+    several = F.regexp_replace(turned, r"[\x00-\x7F]+", "").rlike(f"[{''.join(more)}]")
+    return F.when(c.rlike(beyond), F.regexp_replace(F.when(several, spelled).otherwise(turned), f"{beyond}+", "")).otherwise(c)
+
+
 def transliterated(c: Column, steps: Iterable[str]) -> Column:
     """NFKD, ASCII and Greek steps; Cyrillic needs a library that isn't there and is passed over, as is an unknown step."""
-    known = [s for s in steps if s in ("latin", "ascii", "greek")]
+    known = tuple(s for s in steps if s in ("latin", "ascii", "greek"))
     if other := [s for s in steps if s not in known]:
         log.warning("transliteration steps passed over: %s", other)
     if not known:
         return c
-    greek = str.maketrans(GREEK)
-
-    def run(s: str) -> str:
-        if s.isascii():
-            return s
-        for step in known:
-            s = s.translate(greek) if step == "greek" else unicodedata.normalize("NFKD", s)
-            if step == "ascii":
-                s = s.encode("ascii", "ignore").decode()
-        return s
-
-    return _each(run)(c)
+    if "ascii" in known:
+        return _to_ascii(c, known)
+    return _each(lambda s: s if s.isascii() else _folded(s, known))(c)
 
 
 def title(c: Column) -> Column:
@@ -214,12 +239,25 @@ def clean_names(string, **options) -> str:
     """One name, on the active session; a list is a ValueError."""
     if isinstance(string, (list, tuple, set)):
         raise ValueError("clean_names takes one name; use clean_names_table")
+    text, replace = str(string), options.get("replace")
+    for micro in "\u00b5\u03bc":
+        if micro in text and not any(micro in key for key in (REPLACE if replace is None else replace)):
+            log.warning("%r has a micro sign (%s) that no replacement covers", text, micro)
     try:
-        return SparkSession.active().range(1).select(clean_name(F.lit(str(string)), **options)).first()[0]
+        out = SparkSession.active().range(1).select(clean_name(F.lit(text), **options)).first()[0]
     except Exception as e:
         if NO_SPELLER in str(e):
             raise ModuleNotFoundError(NO_SPELLER) from e
         raise
+    if left := sorted({c for c in out if not c.isascii()}):
+        log.warning("characters that were neither transliterated nor removed: %r", "".join(left))
+    return out
+
+
+def left_over(df: DataFrame, column: str) -> DataFrame:
+    """``(character, rows)``: characters beyond ASCII that a column still has, and in how many rows."""
+    chars = F.array_distinct(F.filter(F.split(F.col(column), ""), lambda x: x.rlike(r"[^\x00-\x7F]")))
+    return df.select(F.explode(chars).alias("character")).groupBy("character").agg(F.count("*").alias("rows"))
 
 
 def rename_columns(df: DataFrame, **options) -> DataFrame:

@@ -150,7 +150,14 @@ def parse_reply(text: str) -> tuple[float, str] | None:
 
 def parse_replies(reply: Column) -> Column:
     """``parse_reply`` of each text, a struct (p, reason)."""
-    return F.udf(lambda t: parse_reply(t) if t is not None else None, "struct<p:double,reason:string>")(reply)
+
+    @F.pandas_udf("p double, reason string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        said = [parse_reply(t) if t is not None else None for t in texts]
+        return pd.DataFrame({"p": [x[0] if x else None for x in said], "reason": [x[1] if x else None for x in said]}, columns=["p", "reason"])
+
+    found = run(reply)
+    return F.when(found["p"].isNotNull(), found)
 
 
 def build_index(df: DataFrame, column: str) -> DataFrame:

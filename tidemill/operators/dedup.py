@@ -103,7 +103,7 @@ def _call(function: Callable, keys: int):
 def deduplicate(
     df: DataFrame, on: specs.ColumnSpec = None, *, action: str = "remove", pick: str | Callable = "first", group_by: specs.ColumnSpec = None, entity_by: specs.ColumnSpec | bool = None,
     block_by: specs.ColumnSpec = None, mode: str = "auto", random_state: int | None = None, order_by: specs.ColumnSpec = None, flag_column: str = "is_duplicate", group_id_column: str | None = None,
-    return_stats: bool = False, log_stats: bool = False, entity_scope: str = "global", split_entity_values: bool = True, entity_separators_regex: str = SEPARATORS, null_keys: str = "reference", **aliases,
+    return_stats: bool = False, log_stats: bool = False, entity_scope: str = "global", split_entity_values: bool = True, entity_separators_regex: str = SEPARATORS, null_keys: str = "reference", keep_order: bool = False, **aliases,
 ):
     """Keep one row of each key, or flag the others; ``(df, stats)`` with ``return_stats``.
 
@@ -118,7 +118,9 @@ def deduplicate(
     is absent or ties; name a unique column for results that don't depend on
     the layout of files. With max or min and an exact key, a row with a null
     in its key stays only if its value is null; with a callable, never; with
-    ``null_keys="group"`` null keys are keys like others.
+    ``null_keys="group"`` null keys are keys like others. ``keep_order`` sorts
+    what is returned as the rows came in, by the table's own order; it costs a
+    shuffle.
     """
     given = specs.fold_aliases({"on": on, "group_by": group_by, "entity_by": entity_by, "block_by": block_by, "pick": pick}, aliases)
     on, group_by, entity_by, block_by, pick = (given[k] for k in ("on", "group_by", "entity_by", "block_by", "pick"))
@@ -148,7 +150,7 @@ def deduplicate(
     order_names = specs.resolve(order_by, columns, "order_by") or []
 
     work = df.withColumn(ROW, F.monotonically_increasing_id())
-    if entities is not None or chosen.kind in ("custom", "random") or group_id_column and grouped or not order_names:
+    if entities is not None or chosen.kind in ("custom", "random") or group_id_column and grouped or not order_names or keep_order:
         work = stage(work, "rows")
     order = [F.col(f"`{c}`") for c in order_names] + [F.col(ROW)]
     if entities is not None:
@@ -185,10 +187,11 @@ def deduplicate(
         ranked = work.withColumn(RANK, F.row_number().over(window)).withColumn(flag_column, (F.col(RANK) > 1) | lost)
     ids = [F.col("_tm_id").alias(group_id_column)] if group_id_column and grouped else []
     own = [F.col(f"`{c}`") for c in columns if c != group_id_column or not ids]
+    held = ranked.orderBy(ROW) if keep_order else ranked
     if action == "remove":
-        out = ranked.where(~F.col(flag_column)).select(*own, *ids)
+        out = held.where(~F.col(flag_column)).select(*own, *ids)
     else:
-        out = ranked.select(*(c for c, n in zip(own, [c for c in columns if c != group_id_column or not ids], strict=True) if n != flag_column), flag_column, *ids)
+        out = held.select(*(c for c, n in zip(own, [c for c in columns if c != group_id_column or not ids], strict=True) if n != flag_column), flag_column, *ids)
     if not (return_stats or log_stats):
         return out
     stats = _stats(ranked, flag_column, action)

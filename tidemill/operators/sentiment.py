@@ -7,6 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.order import number
+from tidemill.staging import stage
+
 # Emotions of words.
 EMOTIONS = {
     "happy": "joy", "sad": "sadness", "amazing": "surprise", "terrible": "anger", "excited": "joy", "depressed": "sadness", "shocked": "surprise", "furious": "anger",
@@ -32,7 +35,10 @@ def detect(df: DataFrame, columns: Sequence[str], lexicon: DataFrame | None = No
     """
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"no columns {missing}")
-    index = F.col(id_col).cast("long") if id_col else F.monotonically_increasing_id()
+    if not id_col:
+        # Consecutive numbers in the order of files; a partition's own numbers would leave gaps that batches don't have.
+        df, id_col = number(stage(df.withColumn("_tm_row", F.monotonically_increasing_id()), "rows"), [F.col("_tm_row")], "_tm_index"), "_tm_index"
+    index = F.col(id_col).cast("long")
     if batch:
         index = (F.floor(index / batch) * batch).cast("long")
     cells = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(c).alias("source_column"), F.col(f"`{c}`").cast("string").alias("text")) for k, c in enumerate(columns)))

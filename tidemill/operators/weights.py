@@ -55,28 +55,36 @@ def _checked(weights: Mapping, df: DataFrame) -> dict[str, dict]:
 
 
 def _check_levels(df: DataFrame, weights: dict[str, dict]) -> None:
-    """One job for all variables: is there a level without a weight?"""
-    missing = {var: F.collect_set(F.when(~clean(df, var).isin(list(levels)), F.col(f"`{var}`").cast("string"))) for var, levels in weights.items() if levels}
-    missing |= {var: F.collect_set(F.col(f"`{var}`").cast("string")) for var, levels in weights.items() if not levels}
-    if not missing:
+    """One job for all variables: is there a level without a weight? The first twenty of them, by name, are an error."""
+    if not weights:
         return
-    # A set of levels is as small as the variable's number of levels; a variable with a weight a level has few.
-    found = df.agg(*(F.slice(F.sort_array(c), 1, 20).alias(f"m{k}") for k, c in enumerate(missing.values()))).first()
-    for k, var in enumerate(missing):
-        if found[f"m{k}"]:
-            raise ValueError(f"levels of {var!r} without a weight: {found[f'm{k}']}")
+    cells = F.array(*(F.struct(F.lit(var).alias("var"), clean(df, var).cast("string").alias("level")) for var in weights))
+    seen = df.select(F.explode(cells).alias("cell")).select("cell.*").where("level IS NOT NULL").distinct()
+    kinds = {var: df.schema[var].dataType for var in weights}
+    known = [df.sparkSession.range(1).select(F.lit(var).alias("var"), F.explode(F.array(*(F.lit(x).cast(kinds[var]).cast("string") for x in levels))).alias("level")) for var, levels in weights.items() if levels]
+    missing = seen.join(F.broadcast(reduce(DataFrame.unionByName, known)), ["var", "level"], "left_anti") if known else seen
+    if found := missing.orderBy("var", "level").limit(20).collect():
+        raise ValueError("levels without a weight: " + ", ".join(f"{r['level']!r} of {r['var']!r}" for r in found))
+
+
+def _most_frequent(df: DataFrame, column: str):
+    """Of equals the least; counts are added up before they meet."""
+    counts = df.select(clean(df, column).alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
+    found = counts.orderBy(F.desc("n"), "value").limit(1).collect()
+    return found[0]["value"] if found else None
 
 
 def fill_nulls(df: DataFrame, columns: Sequence[str], values: Mapping | None = None) -> DataFrame:
-    """Nulls and NaN by the given value, or a number column's mean, or the most frequent value, of equals the least."""
+    """Nulls and NaN by the given value, or a number column's mean, or the most frequent value, of equals the least.
+
+    Only columns that have nulls are looked into; others keep their type.
+    """
     values, kinds = dict(values or {}), {f.name: f.dataType for f in df.schema}
     open_ = [c for c in dict.fromkeys(columns) if c not in values]
     number = {c for c in open_ if isinstance(kinds[c], T.NumericType)}
     if open_:
-        best = [F.avg(clean(df, c)) if c in number else F.mode(clean(df, c), True) for c in open_]
-        found = df.agg(*(b.alias(f"v{k}") for k, b in enumerate(best)), *(F.count_if(clean(df, c).isNull()).alias(f"n{k}") for k, c in enumerate(open_))).first()
-        # A column without nulls keeps its type.
-        values |= {c: found[f"v{k}"] if found[f"n{k}"] else None for k, c in enumerate(open_)}
+        found = df.agg(*(F.count_if(clean(df, c).isNull()).alias(f"n{k}") for k, c in enumerate(open_)), *(F.avg(clean(df, c)).alias(f"v{k}") for k, c in enumerate(open_) if c in number)).first()
+        values |= {c: None if not found[f"n{k}"] else found[f"v{k}"] if c in number else _most_frequent(df, c) for k, c in enumerate(open_)}
 
     def filled(c: str) -> Column:
         if c not in columns or values.get(c) is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import shutil
 import wave
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.staging import parallelism, stage
+
 # Suffixes that have a duration, and what an archive's name excludes.
 MEDIA = (".mp3", ".wav", ".flac", ".ogg", ".m4a", ".mp4", ".aac", ".aiff", ".opus")
 TEMPORARY, BACKUP = "temp", "_backup.zip"
@@ -56,6 +59,11 @@ def levels(path: Column, root: str, compat: bool = False) -> Column:
     return F.concat(F.transform(folders, lambda x: pair(x, F.lit("folder"))), F.array(pair(last, suffix(last))))
 
 
+def media(path: Column) -> Column:
+    """Whether the suffix, in any case, is of a kind of file that has a duration."""
+    return F.lower(suffix(name_of(path))).isin(list(MEDIA))
+
+
 def clock(seconds: Column) -> Column:
     """MM:SS; minutes may exceed 59; empty for null."""
     whole = F.floor(seconds)
@@ -83,8 +91,10 @@ def wave_seconds(content: Column) -> Column:
 def media_table(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
     """``(levels, duration)`` of each file under ``path``; durations of WAV files, empty for others."""
     root = path if "://" in path or path.startswith("file:") else f"file:{os.path.abspath(path)}"
-    files = _binary(spark, path, True, None)
-    seconds = F.when(F.lower(suffix(name_of(F.col("path")))) == ".wav", wave_seconds(F.col("content")))
+    # Contents are read of WAV files only; those of other media would need a decoder.
+    heard = _binary(spark, path, True, "*.[wW][aA][vV]").select("path", wave_seconds(F.col("content")).alias("seconds"))
+    files = list_files(spark, path).join(heard, "path", "left")
+    seconds = F.when(media(F.col("path")), F.col("seconds"))
     bare = lambda c: F.regexp_replace(c, "^file:/*", "file:/")
     return files.select(levels(bare(F.col("path")), "file:/" + root.removeprefix("file:").lstrip("/") if root.startswith("file:") else root, compat).alias("levels"), clock(seconds).alias("duration"))
 
@@ -111,28 +121,46 @@ def stamped(folder: str, now: datetime | None = None) -> str:
 def plan_moves(files: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """``(path, destination)``: each file into a folder named like it without its suffix.
 
-    Of files that would meet, or where ``existing(path)`` has the destination,
-    the later get _1, _2 before the suffix.
+    Where ``existing(path)`` has the destination, the file gets the first of _1,
+    _2, ... before the suffix that is free; of files that would meet, the later
+    the next free one.
     """
     name = name_of(F.col("path"))
     folder = F.expr("substring(path, 1, length(path) - length(element_at(split(path, '/'), -1)))")
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
     tail = F.expr("substring(name, length(stem) + 1)")
     plan = files.select("path", folder.alias("folder"), name.alias("name"), stem.alias("stem")).withColumn("tail", tail).withColumn("wanted", F.concat("folder", "stem", F.lit("/"), "name"))
-    taken = (existing.select(F.col("path").alias("wanted")).distinct().withColumn("there", F.lit(1))) if existing is not None else files.sparkSession.createDataFrame([], "wanted string, there int")
-    order = F.row_number().over(Window.partitionBy("wanted").orderBy("path")) - 1 + F.coalesce("there", F.lit(0))
-    plan = plan.join(taken, "wanted", "left").withColumn("n", order)
-    return plan.select("path", F.when(F.col("n") == 0, F.col("wanted")).otherwise(F.concat("folder", "stem", F.lit("/"), "stem", F.lit("_"), F.col("n").cast("string"), "tail")).alias("destination"))
+    if existing is None:
+        existing = files.sparkSession.createDataFrame([], "path string")
+    # A file that is there takes its own name, and, if a number ends its stem, that number of the name without it.
+    numbered = r"^(.*)_([1-9][0-9]{0,8})((?:\.[^./]+)?)$"
+    own = F.struct(F.col("path").alias("wanted"), F.lit(0).cast("long").alias("n"))
+    other = F.struct(F.concat(F.regexp_extract("path", numbered, 1), F.regexp_extract("path", numbered, 3)).alias("wanted"), F.try_to_number(F.nullif(F.regexp_extract("path", numbered, 2), F.lit("")), F.lit("999999999")).cast("long").alias("n"))
+    taken = existing.select(F.explode(F.array(own, other)).alias("t")).select("t.*").where("n IS NOT NULL").groupBy("wanted").agg(F.array_sort(F.collect_set("n")).alias("taken"))
+    turn = F.row_number().over(Window.partitionBy("wanted").orderBy("path")).cast("long") - 1
+    plan = plan.withColumn("turn", turn).join(taken, "wanted", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<bigint>")))
+    n = F.aggregate("taken", F.col("turn"), lambda free, x: F.when(x <= free, free + 1).otherwise(free))
+    return plan.withColumn("n", n).select("path", F.when(F.col("n") == 0, F.col("wanted")).otherwise(F.concat("folder", "stem", F.lit("/"), "stem", F.lit("_"), F.col("n").cast("string"), "tail")).alias("destination"))
+
+
+def _free(path: str) -> str:
+    stem, tail = os.path.splitext(path)
+    return next(p for p in itertools.chain([path], (f"{stem}_{n}{tail}" for n in itertools.count(1))) if not os.path.lexists(p))
 
 
 def apply_moves(plan: DataFrame, dry_run: bool = True) -> list[tuple[str, str, str]]:
-    """Move local files one after the other; ``(path, destination, outcome)``."""
+    """Move local files one after the other; ``(path, destination, outcome)``.
+
+    A file is never replaced: if the destination has been taken since the plan,
+    the next free number is.
+    """
     done = []
     for path, destination in ((r[0].removeprefix("file:"), r[1].removeprefix("file:")) for r in plan.toLocalIterator()):
         outcome = "planned"
         if not dry_run:
             try:
                 os.makedirs(os.path.dirname(destination), exist_ok=True)
+                destination = _free(destination)
                 shutil.move(path, destination)
                 outcome = "moved"
             except OSError as e:
@@ -141,6 +169,16 @@ def apply_moves(plan: DataFrame, dry_run: bool = True) -> list[tuple[str, str, s
     return done
 
 
+def remove_empty_folders(path: str) -> list[str]:
+    """Folders under a local path without anything in them go, from below; their paths."""
+    gone = []
+    for folder, _, _ in os.walk(path, topdown=False):
+        if folder != path and not os.listdir(folder):
+            os.rmdir(folder)
+            gone.append(folder)
+    return gone
+
+
 def wanted_archive(path: Column, excluded_names: Iterable[str] = (), excluded_folders: Iterable[str] = (), suffixes: Iterable[str] = (".zip", ".rar")) -> Column:
     """Archives by suffix, in its own case, that no rule excludes: names, temp*, *_backup.zip, parts of folders."""
     name, folder = name_of(path), F.lower(F.regexp_replace(path, "/[^/]*$", ""))
@@ -181,9 +219,9 @@ def archive_entries(spark: SparkSession, path: str, most_levels: int = 32, **exc
     stay closed, each with a quarantine row of its own. Nothing is written beside the archives.
     """
     found = None
-    now = _binary(spark, path, True, None).where(wanted_archive(F.col("path"), **exclusions) & F.col("path").endswith(".zip")).select("path", "content")
+    now = _binary(spark, path, True, "*.zip").where(wanted_archive(F.col("path"), **exclusions)).select("path", "content")
     for _ in range(most_levels):
-        level = now.mapInPandas(_opened, _ENTRY).persist()
+        level = stage(now.mapInPandas(_opened, _ENTRY), "entries")
         found = level.drop("content") if found is None else found.unionByName(level.drop("content"))
         now = level.where("content IS NOT NULL").select(F.concat("archive", F.lit("!"), "entry").alias("path"), "content")
         if now.isEmpty():
@@ -192,6 +230,70 @@ def archive_entries(spark: SparkSession, path: str, most_levels: int = 32, **exc
     return found.unionByName(now.select(F.col("path").alias("archive"), F.lit(None).cast("string").alias("entry"), F.lit(None).cast("long").alias("length"), closed))
 
 
+def _extracted(path: str, failed: str, attempts: int, delete: bool, dry_run: bool) -> tuple[str, int, int]:
+    """Status, entries and attempts of a local archive that is opened beside itself."""
+    for attempt in range(1, attempts + 1):
+        try:
+            with zipfile.ZipFile(path) as z:
+                if bad := z.testzip():
+                    raise zipfile.BadZipFile(f"bad entry {bad}")
+                names = [x for x in z.infolist() if not x.is_dir()]
+                if dry_run:
+                    return "planned", len(names), attempt
+                z.extractall(os.path.dirname(path))
+            if delete and names:
+                os.remove(path)
+            return "extracted", len(names), attempt
+        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError) as e:
+            problem = f"quarantine: {e}"
+        except OSError as e:
+            problem = f"failed: {e}"
+    if not dry_run and problem.startswith("quarantine"):
+        os.makedirs(failed, exist_ok=True)
+        shutil.move(path, _free(os.path.join(failed, os.path.basename(path))))
+    return problem, 0, attempts
+
+
+def extract_archives(spark: SparkSession, path: str, dry_run: bool = True, delete: bool = False, attempts: int = 3, most_levels: int = 32, **exclusions) -> DataFrame:
+    """``(archive, status, entries, attempts)`` of ZIP archives under a folder that all machines share, each opened beside itself.
+
+    What comes out is looked through for archives again, until there are none
+    or, as an archive may hold itself, ``most_levels`` are done; the rest then
+    has status ``closed``. An archive that can't be read after ``attempts`` goes
+    to the folder ``failed_archives``. ``delete`` removes opened ones, and then
+    folders left empty. A dry run opens nothing and so sees the first level.
+    """
+    root = path.removeprefix("file:")
+    failed = os.path.join(root, "failed_archives")
+    seen, out, schema = set(), [], "archive string, status string, entries long, attempts long"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            told = [_extracted(p, failed, attempts, delete, dry_run) for p in rows["path"]]
+            yield pd.DataFrame([(p, *t) for p, t in zip(rows["path"], told, strict=True)], columns=["archive", "status", "entries", "attempts"])
+
+    def waiting() -> list[str]:
+        # Listing files is the driver's work; a list of paths is what comes of it.
+        names = [os.path.join(d, f) for d, _, names in os.walk(root) if not d.startswith(failed) for f in sorted(names) if f.endswith(".zip")]
+        held = spark.createDataFrame([(p,) for p in names if p not in seen], "path string")
+        return [r["path"] for r in held.where(wanted_archive(F.col("path"), **exclusions)).collect()]
+
+    for _ in range(most_levels):
+        now = waiting()
+        if not now:
+            break
+        seen.update(now)
+        tasks = spark.createDataFrame([(p,) for p in now], "path string").repartition(min(len(now), parallelism(spark)))
+        out += [tuple(r) for r in tasks.mapInPandas(run, schema).collect()]
+        if dry_run:
+            break
+    else:
+        out += [(p, "closed", 0, 0) for p in waiting()]
+    if delete and not dry_run:
+        remove_empty_folders(root)
+    return spark.createDataFrame(out, schema)
+
+
 class ProjectPath:
     """Paths under the nearest folder above that has one of some markers."""
 
