@@ -150,6 +150,9 @@ def test_moves(spark):
     assert {tuple(r) for r in files.plan_moves(df).collect()} == {("/x/a.txt", "/x/a/a.txt"), ("/x/.bashrc", "/x/.bashrc/.bashrc"), ("/x/noext", "/x/noext/noext")}
     taken = spark.createDataFrame([("/x/a/a.txt",)], "path string")
     assert ("/x/a.txt", "/x/a/a_1.txt") in {tuple(r) for r in files.plan_moves(df, taken).collect()}
+    full = spark.createDataFrame([("/x/a/a.txt",), ("/x/a/a_1.txt",), ("/x/a/a_3.txt",), ("/x/a/a_02.txt",)], "path string")
+    twice = spark.createDataFrame([("/x/a.txt",), ("/x/a.txt",), ("/x/a.txt",)], "path string")
+    assert sorted(r["destination"] for r in files.plan_moves(twice, full).collect()) == ["/x/a/a_2.txt", "/x/a/a_4.txt", "/x/a/a_5.txt"]
     assert {o for *_, o in files.apply_moves(files.plan_moves(df))} == {"planned"}
 
 
@@ -167,6 +170,63 @@ def test_archives(spark, tmp_path):
     assert [r["archive"].rsplit("/", 1)[1] for r in got if r["status"] != "ok"] == ["bad.zip"]
 
 
+def test_extraction(spark, tmp_path):
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("deep.txt", "deep")
+    (tmp_path / "in").mkdir()
+    with zipfile.ZipFile(tmp_path / "in" / "a.zip", "w") as z:
+        z.writestr("n/inner.zip", inner.getvalue())
+    (tmp_path / "in" / "bad.zip").write_text("no")
+    (tmp_path / "in" / "temp.zip").write_text("no")
+    (tmp_path / "in" / "empty" / "er").mkdir(parents=True)
+    told = lambda **k: {(r["archive"].rsplit("/", 1)[1], r["status"].split(":")[0], r["entries"], r["attempts"]) for r in files.extract_archives(spark, str(tmp_path / "in"), **k).collect()}
+    assert told() == {("a.zip", "planned", 1, 1), ("bad.zip", "quarantine", 0, 3)} and not (tmp_path / "in" / "n").exists()
+    assert told(dry_run=False, delete=True) == {("a.zip", "extracted", 1, 1), ("bad.zip", "quarantine", 0, 3), ("inner.zip", "extracted", 1, 1)}
+    assert sorted(str(p.relative_to(tmp_path / "in")) for p in (tmp_path / "in").rglob("*") if p.is_file()) == ["failed_archives/bad.zip", "n/deep.txt", "temp.zip"]
+    assert not (tmp_path / "in" / "empty").exists()
+
+
+def test_judge_and_embedder(spark, index, tmp_path):
+    judge = ap.Judge("pasta", lambda prompt: '{"p": 0.2, "reason": "no"}' if "Context:\npasta" in prompt else "")
+    assert judge("salt") == (0.2, "no")
+    broken = ap.Judge("pasta", lambda prompt: 1 / 0)
+    assert broken("salt") is None and "division" in broken.disabled_reason
+    broken.ask = lambda prompt: "0.9"
+    assert broken("salt") is None
+    asked = spark.createDataFrame([("sea salt",)], "item string")
+    out = ap.evaluate(asked, index, ap.PRESETS["normal"], embedder=lambda texts: [[0.95, 0.05] for _ in texts]).first()
+    assert out["decision"] == ap.YES and out["best_match"] == "salt"
+    for bad in (F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(float("nan"))), F.lit(None).cast("array<float>")):
+        wrong = index.withColumn("embedding", F.when(F.col("item") == "salt", bad.cast("array<float>")).otherwise(F.col("embedding")))
+        with pytest.raises(ValueError):
+            ap.check_index(wrong, 25)
+        path = str(tmp_path / f"{hash(str(bad))}")
+        index.write.parquet(f"{path}/old")
+        wrong.write.parquet(f"{path}/items")
+        spark.createDataFrame([(3, 25)], "version int, n_neighbors int").write.json(f"{path}/meta")
+        assert "embedding" not in ap.load_index(spark, path)[0].columns
+        assert ap.load_index(spark, path, lambda texts: [[1.0, 2.0]] * len(texts))[0].select("embedding").first()[0] == [1.0, 2.0]
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    rows = [(f"i{k}", [float(x) for x in r.normal(size=4)]) for k in range(90)] + [("none", None), ("i7 copy", None)]
+    rows[-1] = ("i7 copy", rows[7][1])
+    df = spark.createDataFrame(rows, "item string, embedding array<double>")
+    q = df.withColumnRenamed("item", "query")
+    want = [tuple(x) for x in nb.nearest(df, q, 3, other=True).orderBy("query", "rank").select("query", "item", F.round("sim", 9), "rank").collect()]
+    monkeypatch.setattr(nb, "BLOCK", 16)
+    got = [tuple(x) for x in nb.nearest(df, q, 3, other=True).orderBy("query", "rank").select("query", "item", F.round("sim", 9), "rank").collect()]
+    assert len(want) == 91 * 3 and got == want
+
+
+def test_batches_of_texts(spark):
+    df = spark.range(100).repartition(4).select(F.concat(F.lit("w"), F.col("id")).alias("t"))
+    out = se.detect(df, ["t"], batch=32).groupBy("text_index").count().collect()
+    assert {r["text_index"]: r["count"] for r in out} == {0: 32, 32: 32, 64: 32, 96: 4}
+
+
 def test_archives_too_deep(spark, tmp_path):
     data = b"deep"
     for name in ("deep.txt", "c.zip", "b.zip", "a.zip"):

@@ -135,3 +135,9 @@ def test_partitions_do_not_matter(people):
 def test_native_plan(people):
     plan = deduplicate(people, on="email", order_by="ord")._jdf.queryExecution().toString()
     assert "Python" not in plan and "WindowGroupLimit" in deduplicate(people, on="email", order_by="ord").where(F.lit(True))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_in_the_order_they_came_in(spark):
+    df = spark.createDataFrame([(k * 7 % 20, k % 6) for k in range(20)], "a long, b long").coalesce(1)
+    assert [r["a"] for r in deduplicate(df, on="b", keep_order=True).collect()] == [0, 7, 14, 1, 8, 15]
+    assert [r["a"] for r in deduplicate(df, on="b", action="flag", pick="max:a", keep_order=True).collect()] == [r["a"] for r in df.collect()]

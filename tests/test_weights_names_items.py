@@ -111,3 +111,25 @@ def test_items(spark):
     cells = spark.createDataFrame([(["A", "b, c", None],), (None,)], "x array<string>")
     assert [r[0] for r in cells.select(items.items_of(cells, "x")).collect()] == [["a", "b", "c"], []]
     assert tuple(items.row_counts(cells, "x").first()) == (2, 1, 3)
+
+
+def test_ascii_without_python(spark, caplog):
+    import unicodedata
+
+    texts = ["plain", "Ångström ﬁne ½ … ﬀ", "字 ß Ω ℃ 𝔸 ㎏", "", None, "é" * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = df.select("t", names.transliterated(F.col("t"), ["latin", "ascii"]).alias("x"))
+    assert "Python" not in out._jdf.queryExecution().toString()
+    assert all(r["x"] == (r["t"] and unicodedata.normalize("NFKD", r["t"]).encode("ascii", "ignore").decode()) for r in out.collect())
+    assert {r["character"]: r["rows"] for r in names.left_over(df, "t").collect()}["é"] == 1
+    assert names.clean_names("µ", transliterate=False, replace={}) == "" and "micro sign" in caplog.text
+    assert names.clean_names("aß", transliterate=False) == "aß" and "neither" in caplog.text
+
+
+def test_levels_and_modes_of_wide_columns(spark):
+    from tidemill.operators.weights import apply_weights, fill_nulls
+
+    df = spark.createDataFrame([("a", 1.0, None), ("b", None, "x"), (None, 3.0, "y"), ("b", 2.0, "y")], "s string, v double, t string")
+    assert sorted(map(str, fill_nulls(df, df.columns).collect())) == sorted(map(str, spark.createDataFrame([("a", 1.0, "y"), ("b", 2.0, "x"), ("b", 3.0, "y"), ("b", 2.0, "y")], "s string, v double, t string").collect()))
+    with pytest.raises(ValueError, match="'b' of 's'"):
+        apply_weights(df, {"s": {"a": 2.0}}, columns_to_weight="v")

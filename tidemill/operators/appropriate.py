@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from tidemill.functions.items import document_frequency, normalize_item
 from tidemill.operators.neighbors import nearest
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class Thresholds:
     min_sim: float
@@ -55,16 +60,19 @@ def suggest(rows_used: int, floor: float, base: Thresholds, min_sim: float | Non
     )
 
 
-def evaluate(queries: DataFrame, index: DataFrame, thresholds: Thresholds, k: int = 5, explain: bool = False, outliers: DataFrame | None = None, scorer: Callable[[str], tuple[float, str] | None] | None = None) -> DataFrame:
+def evaluate(queries: DataFrame, index: DataFrame, thresholds: Thresholds, k: int = 5, explain: bool = False, outliers: DataFrame | None = None, scorer: Callable[[str], tuple[float, str] | None] | None = None, embedder: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
     """A decision for each row of ``queries(item[, embedding])`` against ``index(item, freq[, embedding])``.
 
     Items are normalised; one that the index has is judged by its frequency,
     others by their most similar item. Without embeddings only exact items can
-    pass. ``outliers(query, outlier)`` is asked by normalised item. ``scorer``
+    pass; ``embedder`` gives them to queries that have none. ``outliers(query,
+    outlier)`` is asked by normalised item. ``scorer``
     may veto what passes, if the thresholds enable it; None from it vetoes
     nothing. Frequencies are floats and thresholds doubles, so an item exactly
     at a threshold such as 0.04 is below it.
     """
+    if embedder is not None and "embedding" not in queries.columns:
+        queries = embedded(queries, embedder)
     vectors = "embedding" in queries.columns and "embedding" in index.columns
     q = queries.withColumn("id", F.monotonically_increasing_id()).withColumn("normalized", normalize_item(F.col("item")))
     known = index.select(F.col("item").alias("normalized"), F.col("freq").cast("double").alias("known_freq"))
@@ -89,6 +97,7 @@ def evaluate(queries: DataFrame, index: DataFrame, thresholds: Thresholds, k: in
     blind = ~exact & F.col("best").isNull()
     best = F.format_string("(best=%s, ", "best.item")
     say = lambda f, c: F.format_string(f, c)
+    # The phrases.
     reason = (
         F.when(void, "empty/invalid input")
         .when(exact & (freq < t.min_freq), "exact match; too uncommon").when(exact & odd, "embedding outlier vs reference set (exact match)").when(exact, "exact match; passes thresholds")
@@ -105,6 +114,48 @@ def evaluate(queries: DataFrame, index: DataFrame, thresholds: Thresholds, k: in
     return veto(out, scorer, t.llm_min_p) if scorer and t.llm_enabled else out
 
 
+def embedded(df: DataFrame, embedder: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """The table with a column ``embedding`` of its normalised items, a batch at a time."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in ("embedding", "text to embed"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = np.asarray(embedder(rows["text to embed"].tolist()), np.float32).reshape(len(rows), -1)
+            yield rows.drop(columns="text to embed").assign(embedding=list(found))
+
+    return df.drop("embedding").withColumn("text to embed", normalize_item(F.col("item"))).mapInPandas(run, f"{schema}, embedding array<float>")
+
+
+def prompt(context: str, item: str) -> str:
+    """What a model is asked about an item (fixed value)."""
+    return (
+        "You are judging whether an item is appropriate for a context.\n\n"
+        f"Context:\n{context}\n\n"
+        f"Item:\n{item}\n\n"
+        "Return ONLY JSON with this schema:\n"
+        '{ "p": number, "reason": string }\n'
+        "Where p is the probability (0 to 1) the item is appropriate in context.\n"
+    )
+
+
+class Judge:
+    """A scorer from ``ask(prompt) -> reply``; after a failure it asks no more and vetoes nothing, in each worker for itself."""
+
+    def __init__(self, context: str, ask: Callable[[str], str]):
+        self.context, self.ask, self.disabled_reason = context, ask, None
+
+    def __call__(self, item: str) -> tuple[float, str] | None:
+        if self.disabled_reason:
+            return None
+        try:
+            reply = self.ask(prompt(self.context, item))
+        except Exception as e:
+            self.disabled_reason = f"call failed: {e!r}"
+            log.warning("no more vetoes: %s", self.disabled_reason)
+            return None
+        return parse_reply((reply or "").strip())
+
+
 def veto(decided: DataFrame, scorer: Callable[[str], tuple[float, str] | None], min_p: float) -> DataFrame:
     """Ask ``scorer(item)`` for (p, reason) of each item that passed; one with p under ``min_p`` doesn't."""
 
@@ -174,12 +225,18 @@ def save_index(index: DataFrame, path: str, n_neighbors: int = 25) -> None:
     index.sparkSession.createDataFrame([(3, n_neighbors)], "version int, n_neighbors int").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+def load_index(spark: SparkSession, path: str, embedder: Callable[[list[str]], np.ndarray] | None = None) -> tuple[DataFrame, int]:
+    """The index and its number of neighbours; where its embeddings can't be used, the embedder's, or none."""
     meta = spark.read.json(f"{path}/meta").first()
     if meta["version"] != 3:
         raise ValueError(f"index version {meta['version']}")
     index = spark.read.parquet(f"{path}/items")
-    check_index(index, meta["n_neighbors"])
+    check_index(index.drop("embedding"), meta["n_neighbors"])
+    if "embedding" in index.columns and (problem := embedding_problem(index)):
+        log.warning("embeddings of %s: %s", path, problem)
+        index = index.drop("embedding")
+    if "embedding" not in index.columns and embedder is not None:
+        index = embedded(index, embedder)
     return index, meta["n_neighbors"]
 
 
@@ -188,14 +245,38 @@ def check_index(index: DataFrame, n_neighbors: int) -> None:
     bad, n, distinct = index.agg(F.count_if(freq.isNull() | F.isnan(freq) | (freq < 0) | (freq > 1) | F.col("item").isNull() | (F.col("item") == "")), F.count("*"), F.count_distinct("item")).first()
     if n_neighbors < 2 or not n or bad or n != distinct:
         raise ValueError(f"not an index: {n} items, {distinct} different, {bad} with a wrong item or frequency, {n_neighbors} neighbours")
+    if "embedding" in index.columns and (problem := embedding_problem(index)):
+        raise ValueError(f"not an index: {problem}")
+
+
+def embedding_problem(index: DataFrame) -> str | None:
+    """What is wrong with the embeddings: missing, not finite, or of several lengths."""
+    x = F.col("embedding").cast("array<double>")
+    odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    none, wrong, least, most = index.agg(F.count_if(x.isNull()), F.count_if(odd), F.min(F.size(x)), F.max(F.size(x))).first()
+    if none or wrong:
+        return f"{none} missing, {wrong} not finite"
+    return f"lengths from {least} to {most}" if least != most or not most else None
+
+
+def report_line() -> Column:
+    """A line of text for a decision, with its neighbours below it where it has some."""
+    head = F.format_string("%s: %s (score=%.3f)", "item", "decision", "score")
+    head = F.concat(head, F.when(F.coalesce("reason", F.lit("")) != "", F.concat(F.lit(" — "), "reason")).otherwise(""))
+    near = F.transform("neighbors", lambda x: F.concat(F.lit("\n    - "), F.rpad(x["item"], F.greatest(F.lit(28), F.length(x["item"])), F.lit(" ")), F.format_string("  sim=%.3f", x["sim"]), F.format_string("  freq=%.3f", x["freq"])))
+    return F.concat(head, F.when(F.size("neighbors") > 0, F.concat(F.lit("\n  Neighbors:"), F.array_join(near, ""))).otherwise(""))
+
+
+def json_line(decided: DataFrame) -> Column:
+    return F.to_json(F.struct(*decided.columns), {"ignoreNullFields": "false"})
 
 
 def report(decided: DataFrame) -> DataFrame:
-    return decided.select(F.format_string("%s: %s (score=%.3f) — %s", "item", "decision", "score", "reason").alias("line"))
+    return decided.select(report_line().alias("line"))
 
 
 def json_lines(decided: DataFrame) -> DataFrame:
-    return decided.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+    return decided.select(json_line(decided).alias("line"))
 
 
 def sample(spark: SparkSession, column: str) -> DataFrame:
