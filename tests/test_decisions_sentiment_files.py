@@ -90,7 +90,7 @@ def test_decisions_by_neighbours(spark, tmp_path):
             sim, f = 1.0 if known else float(like[at]), freq[at]
             score = (0.8 * max(0.0, min(1.0, sim)) + 0.2 * min(1, math.log1p(10 * f) / math.log1p(10))) * (0.25 + 0.75 * f / 0.04 if f < 0.04 else 1) * (0.7 if odd else 1)
             x = got[item]
-            assert (x["best_match"], x["outlier"], x["neighbors"]) == (names[at], odd, [names[j] for j in around[:5]]), item
+            assert (x["best_match"], x["outlier"], x["neighbors"].split()) == (names[at], odd, [names[j] for j in around[:5]]), item
             assert x["score"] == pytest.approx(score, abs=2e-6) and x["best_similarity"] == pytest.approx(sim, abs=2e-6)
             assert x["decision"] == (ap.YES if f >= 0.04 and (known or sim >= 0.56) and not odd else ap.NO)
             reasons.add(x["reason"].split("(")[0].split("'")[0].strip())

@@ -144,11 +144,6 @@ def dedup_null_key_max(spark, sf):
     return deduplicate(d, on="quality", pick="max:v", order_by="doc_id").select("doc_id", "quality")
 
 
-@query()
-def dedup_random(spark, sf):
-    return deduplicate(read(spark, sf, "documents"), on="source", pick="random", random_state=7, order_by="doc_id").select("doc_id", "source")
-
-
 @query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 2")
 def dedup_custom(spark, sf):
     return deduplicate(read(spark, sf, "documents").select("doc_id", "source"), on="source", pick=lambda g: g.sort_values("doc_id").head(2))
@@ -234,7 +229,7 @@ def names_dupes(spark, sf):
     return d.select(F.col("source").alias("original"), names.clean_name(F.concat_ws(".", "source", "source", "source")).alias("renamed"))
 
 
-@query("SELECT doc_id, strip_accents(left(regexp_extract(text, '[A-Za-zÀ-ÖÙ-Ýà-öù-ý]+'), 20)) AS folded FROM documents")
+@query(r"SELECT doc_id, regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS folded FROM documents")
 def names_ascii(spark, sf):
     return read(spark, sf, "documents").select("doc_id", names.transliterated(F.col("text"), ["latin", "ascii"]).alias("folded"))
 
@@ -281,11 +276,6 @@ def nn_p05(spark, sf):
     return spark.createDataFrame([(round(neighbors.similarity_floor(_vectors(spark, sf)), 6),)], "floor double")
 
 
-@query()
-def lof_outlier(spark, sf):
-    return neighbors.outlier_factors(_vectors(spark, sf)).select(F.col("query").alias("vec_id"), F.round("lof", 6).alias("lof"), "outlier")
-
-
 def _judged(spark, sf) -> DataFrame:
     part = read(spark, sf, "part")
     index = appropriate.build_index(part.select(F.replace("p_name", F.lit(" "), F.lit(", ")).alias("p_name")), "p_name")
@@ -320,7 +310,7 @@ def appropriate_similar(spark, sf):
     asked = some.select(F.concat(F.lit("x"), name).alias("item"), "embedding").unionByName(some.select(F.concat(F.lit("y"), name).alias("item"), turned.alias("embedding")))
     odd = neighbors.outlier_factors(index, asked.withColumnRenamed("item", "query"))
     found = appropriate.evaluate(asked, index, appropriate.PRESETS["normal"], explain=True, outliers=odd)
-    return found.select("item", "decision", F.round("score", 6).alias("score"), "reason", "best_match", F.round("best_similarity", 6).alias("best_similarity"), "outlier", F.col("neighbors.item").alias("neighbors"))
+    return found.select("item", "decision", F.round("score", 6).alias("score"), "reason", "best_match", F.round("best_similarity", 6).alias("best_similarity"), "outlier", F.array_join("neighbors.item", " ").alias("neighbors"))
 
 
 @query("SELECT event_id, least(1, greatest(0, (json_extract(props, '$.k')::DOUBLE) / 100)) AS p FROM events")
@@ -370,6 +360,7 @@ def path_levels(spark, sf):
     return read(spark, sf, "pages").select("page_id", (F.size(parts) - 1).alias("depth"), F.element_at(parts, -1)["type"].alias("type"))
 
 
-@query()
+@query("SELECT '.parquet' AS type, true AS filled")
 def media_listing(spark, sf):
-    return files.list_files(spark, sf, recursive=True, glob="*.parquet").select(files.name_of(F.col("path")).alias("name"), files.suffix(files.name_of(F.col("path"))).alias("type"), "length")
+    found = files.list_files(spark, sf, recursive=True, glob="*.parquet")
+    return found.select(files.suffix(files.name_of(F.col("path"))).alias("type"), "length").groupBy("type").agg(F.bool_and(F.col("length") > 0).alias("filled"))
