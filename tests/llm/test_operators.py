@@ -436,6 +436,33 @@ def test_token_counts(spark, docs, odd, empty):
     assert rows(tc.count_tokens(two, ["a", "b", "c"]), "doc_id", "field", "section", "begin", "end") == [(1, "a", 0, 0, 3), (1, "a", 1, 3, 6), (1, "c", 0, 0, 1), (2, "c", 0, 0, 2), (3, "a", 0, 0, 0)]
 
 
+@pytest.mark.parametrize("rule", tc.RULES)
+def test_token_counts_by_section(spark, rule):
+    """Byte by byte: tokens, the lines that hold their bytes, and the rule."""
+    from collections import Counter
+
+    with open(tc.VOCABULARY, "rb") as f:
+        encoding, _ = tc._encoding(f.read())
+    own = [*DOCS[:40], (900, "a\r\nb\r\n\r\n c"), (901, "x" * 30000 + "\n" + " " * 5000 + "y"), (902, "\n\n\n  \n\n\tz"), (903, "é\nü字\n"), (904, None)]
+    want = Counter()
+    for doc, text in own:
+        raw, at = (text or "").encode(), 0
+        lines = [raw[:k].count(b"\n") for k in range(len(raw))]
+        for k in range(max(lines, default=0) + 1):
+            want[doc, k, "tokens"] = want[doc, k, "crossing"] = 0
+        for token in encoding.encode_ordinary(text or ""):
+            n = len(encoding.decode_single_token_bytes(token))
+            spread = Counter(lines[at : at + n])
+            line = {"start": lines[at], "end": lines[at + n - 1], "majority": min(spread, key=lambda k: (-spread[k], k))}[rule]
+            want[doc, line, "tokens"] += 1
+            want[doc, line, "crossing"] += len(spread) > 1
+            at += n
+    got = Counter()
+    for r in tc.count_tokens(table(spark, own), ["text"], rule=rule).collect():
+        got[r["doc_id"], r["section"], "tokens"], got[r["doc_id"], r["section"], "crossing"] = r["n_tokens"], r["n_crossing"]
+    assert got == want and set(got) == set(want) and any(n for (_, _, what), n in want.items() if what == "crossing")
+
+
 def test_allocation_rules():
     begin, end, section = np.array([0, 3, 8]), np.array([3, 8, 10]), np.array([0, 4, 9])
     assert [tc.allocate(begin, end, section, r)[0].tolist() for r in ("start", "end", "majority")] == [[0, 0, 1], [0, 1, 2], [0, 1, 1]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemill.llm import contracts
 from tidemill.llm.decontaminate import op3_decontamination
 from tidemill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tidemill.llm.jaccard_join import op4_jaccard_join
@@ -23,3 +24,5 @@ QUERIES = {
 }
 
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL}
+QUERIES |= contracts.QUERIES
+ORACLE_SQL |= contracts.SQL
