@@ -60,8 +60,8 @@ HELD_PAIRS = 1 << 20
 FILTER_WORDS = 1 << 20
 #: Counters of how many documents have a content, a byte each when sent, and the slices in which tasks' counters are added up.
 COUNTERS, SLICES = 1 << 22, 64
-#: Bits of a signature beside its shard, and bytes of text that a shard stands for at most.
-KEY_BITS, SHARD_BYTES = 40, 1 << 28
+#: Bits of a signature beside its shard, bytes of text that a shard stands for at most, and those that are shingled at once to be sent.
+KEY_BITS, SHARD_BYTES, SENT_BYTES = 40, 1 << 28, 1 << 20
 
 _ASK = "shard int, ids binary, sizes binary, keys binary, owners binary"
 _SKETCH = "id long, n long, x long, y long, sketch binary"
@@ -161,7 +161,7 @@ def _send(shards: int, share: int, width: int, id_col: str, text_col: str, class
     """Signatures by shard: KEY_BITS of each, ascending, and which of the documents beside them it is of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, piece in pieces(batches, text_col):
+        for rows, piece in pieces(batches, text_col, SENT_BYTES):
             sets = shingle_sets(piece, width)
             ids, sizes = rows.column(id_col).to_numpy(), sets.sizes()
             owner, sig = _blocks(sets, share, classes.value)
@@ -450,9 +450,10 @@ class _Join:
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         """(a, b, h) that sizes and sketches allow; (group, id) of larger runs."""
-        shards = self.shards()
-        asks = self.docs.mapInArrow(_send(shards, self.share, self.width, *self.cols, self.commonness()), _ASK)
+        shards, classes = self.shards(), self.commonness()
+        asks = self.docs.mapInArrow(_send(shards, self.share, self.width, *self.cols, classes), _ASK)
         found = stage(asks.repartitionById(shards, F.col("shard")).mapInArrow(_join(self.share), _FOUND), "found")
+        classes.unpersist()
         pairs = self.named(found.where("NOT large").select("a", "b").distinct(), "a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
         side = lambda k: self.sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
@@ -467,9 +468,8 @@ class _Join:
         held = self.filter_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         asked = stage(self.docs.mapInArrow(_sets(self.width, *self.cols, held), "id long, members binary"), "sets")
         side = lambda k: asked.select(F.col("id").alias(k), F.col("members").alias(f"m{k}"))
-        # Rows carry whole sets, which may be long: small Arrow batches.
-        with setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)):
-            out = stage(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "mb").mapInArrow(_linked(self.share), "a long, b long"), "links")
+        out = stage(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "mb").mapInArrow(_linked(self.share), "a long, b long"), "links")
+        held.unpersist()
         release(asked)
         return out
 
@@ -526,8 +526,10 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, width: int = 5, id_col:
     Rows with the same id are one node. A row with a null id gets n_shingles
     but a null component_id and takes no part. Other columns aren't looked at.
     """
-    join = _Join(docs, share, width, id_col, text_col)
-    label = join.components()
+    # Whole texts and sets go to Python: small Arrow batches.
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)):
+        join = _Join(docs, share, width, id_col, text_col)
+        label = join.components()
     known = join.named(join.sketches.select("id", "n", F.col("id").alias("node")), "node").join(label, "node", "left")
     known = known.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     nameless = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).where(F.col(id_col).isNull())

@@ -38,6 +38,9 @@ class _Powers:
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.forget()
+
+    def forget(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     @staticmethod
@@ -109,6 +112,20 @@ def piece_of(texts: pa.Array) -> Piece:
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, Piece]]:
     """Rows of at most about ``most`` bytes of text at a time, with their piece."""
+    try:
+        yield from _pieces(batches, text, most)
+    finally:
+        release()
+
+
+def release() -> None:
+    """Workers are used again by other tasks, or wait; what this one's allocator holds goes back."""
+    for powers in (BYTES, WORDS, AGAIN):
+        powers.forget()
+    pa.default_memory_pool().release_unused()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[tuple[pa.RecordBatch, Piece]]:
     held: list[pa.RecordBatch] = []
     size = rows = 0
     for batch in batches:
