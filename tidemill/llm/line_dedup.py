@@ -1,10 +1,14 @@
 """Lines that many sites share, found by distinct-site spread, go from all texts.
 
-Sites are counted for each line's hash by HyperLogLog sketches that merge in
-the aggregation, so a line in every document costs a sketch a task. Only lines
-whose estimate is near the threshold are counted exactly. All of it is
-DataFrame functions; texts meet their list of shared lines by a join on the
-text's hash, which AQE may split.
+Texts are cut into lines once; hashes of these are written and read by what
+follows. Lines with fewer occurrences than the threshold can't have as many
+sites. Of the others, sites are counted for each line's hash by HyperLogLog
+sketches that merge in the aggregation, so a line in every document costs a
+sketch a task. Only lines whose estimate is near the threshold are counted
+exactly. All of it is DataFrame functions. What lines are asked for is written
+before it is joined: Spark then knows its size, sends it where it is small, and
+else may split a join with a very common line. Texts meet their list of shared
+lines by a join on the text's hash, which AQE may split.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.staging import stage
+
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
 #: log2 of a sketch's registers, and how far off an estimate may be, as a share: over 9 standard errors.
@@ -24,11 +30,13 @@ def _hash(text: Column) -> Column:
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``lines(line, site)``, line being a hash, to the ``line`` of those with ``min_sites`` distinct sites or more."""
+    lines = lines.where("site IS NOT NULL")
+    often = stage(lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line"), "often")
     estimate = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS)))
-    spread = lines.where("site IS NOT NULL").groupBy("line").agg(F.count("*").alias("n"), estimate.alias("sites")).where(F.col("n") >= min_sites)
-    near = spread.where((F.col("sites") >= min_sites * (1 - NEAR)) & (F.col("sites") <= min_sites * (1 + NEAR))).select("line")
-    exact = lines.where("site IS NOT NULL").join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
-    return spread.where(F.col("sites") > min_sites * (1 + NEAR)).select("line").unionByName(exact.select("line"))
+    spread = stage(lines.join(often, "line", "left_semi").groupBy("line").agg(estimate.alias("sites")).where(F.col("sites") >= min_sites * (1 - NEAR)), "spread")
+    near = stage(spread.where(F.col("sites") <= min_sites * (1 + NEAR)).select("line"), "near")
+    exact = lines.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    return stage(spread.where(F.col("sites") > min_sites * (1 + NEAR)).select("line").unionByName(exact.select("line")), "shared")
 
 
 def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -45,6 +53,7 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     parts = F.split("text", "\n", -1)
     blank = r"^[\x20\x09-\x0D]*$"
     lines = rows.select(_hash(F.col("text")).alias("whole"), "site", F.explode(F.transform(F.filter(parts, lambda x: ~x.rlike(blank)), _hash)).alias("line"))
+    lines = stage(lines, "lines")
     shared = lines.select("whole", "line").join(spread_lines(lines.select("line", "site"), min_sites), "line", "left_semi")
     gone = shared.groupBy("whole").agg(F.collect_set("line").alias("gone"))
     met = rows.withColumn("whole", _hash(F.col("text"))).join(gone, "whole", "left")
