@@ -55,7 +55,7 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     lines = rows.select(_hash(F.col("text")).alias("whole"), "site", F.explode(F.transform(F.filter(parts, lambda x: ~x.rlike(blank)), _hash)).alias("line"))
     lines = stage(lines, "lines")
     shared = lines.select("whole", "line").join(spread_lines(lines.select("line", "site"), min_sites), "line", "left_semi")
-    gone = shared.groupBy("whole").agg(F.collect_set("line").alias("gone"))
+    gone = stage(shared.groupBy("whole").agg(F.collect_set("line").alias("gone")), "gone")
     met = rows.withColumn("whole", _hash(F.col("text"))).join(gone, "whole", "left")
     kept = F.when(F.col("gone").isNull(), parts).otherwise(F.filter(parts, lambda x: ~F.array_contains("gone", _hash(x))))
     sized = met.select(F.col("id").alias(id_col), F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), "text", kept.alias("kept"))
