@@ -114,6 +114,24 @@ def test_exact_duplicates(spark, docs, odd, empty):
     assert exact_duplicates(empty).collect() == []
 
 
+def test_runs_merge_in_blocks(spark, monkeypatch):
+    """Many partitions, blocks of three rows, a digest in a third of all rows."""
+    from tidemill.llm import exact_dedup as ed
+
+    monkeypatch.setattr(ed, "BLOCK", 3)
+    monkeypatch.setattr(ed, "RADIX", 2)
+    r = random.Random(8)
+    texts = [(k * 7919 % 1000, "hot" if k % 3 == 0 else f"t{r.randrange(200)}") for k in range(1000)] + [(None, "hot"), (None, "alone"), (None, None), (5, "")]
+    groups = {}
+    for i, t in texts:
+        groups.setdefault(t or "", []).append(i)
+    best = {t: min((i for i in own if i is not None), default=None) for t, own in groups.items()}
+    got = exact_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(13))
+    want = sorted(((i, best[t or ""], len(groups[t or ""]), brute.sha(t or "")) for i, t in texts), key=repr)
+    assert rows(got, "doc_id", "keep_id", "group_size", "text_sha256") == want
+    assert got.groupBy("text_sha256").agg(F.count_if("kept").alias("k")).where("k != 1").count() == 0
+
+
 def test_decontamination(spark, docs, odd, empty):
     words = brute.ALNUM.findall(DOCS[3][1])
     items = [(1, " ".join(words[25:45])), (2, "TWO words"), (10, "two, WORDS!"), (3, None), (4, ""), (5, " ".join(words[30:43])), (6, "nothing like it is in there at all, it is not so, no no")]
