@@ -6,9 +6,12 @@ each an exchange between chunks of documents and shards of the hash space:
 1. Each window is counted under the least hash of its shorter runs, its
    anchor. Consecutive windows mostly share one, so there are about fifteen
    times fewer anchors than windows; equal windows have equal anchors, so an
-   anchor's count is never below its windows' counts. Every chunk sends a
-   shard its sketch in sparse form, each key once; the shard adds the sketches
-   up into count-min rows and answers with a bit a key.
+   anchor's count is never below its windows' counts. Every chunk counts its
+   anchors in a count-min sketch of its own. Its rows are as wide as the whole
+   corpus needs, so a chunk fills few of their cells and sends those only, to
+   the shards that have a range of the cells each. A shard adds the chunks'
+   cells up and answers with a bit a cell, whether its count is above one; an
+   anchor is estimated to be repeated if its cells in all rows are.
 2. Windows under anchors estimated to be repeated, and only they, are sent as
    96-bit keys, each once a chunk, and counted exactly. No repeated window is
    lost: the estimate is an upper bound.
@@ -28,14 +31,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.packing import pack, unpack
 from tidemill.llm.textkernel import AGAIN, Piece, Words, mix, pieces, spans, starts_of, table, words
 from tidemill.staging import parallelism, stage
 
 #: Words of a window and of the runs among which its anchor is.
 WINDOW, RUN = 35, 8
+#: Bytes of text of a chunk, unless a single document is longer: compressed under half a megabyte, from which on the JVM's collector takes objects as very large.
+CHUNK_BYTES = 1 << 20
+#: Rows of a sketch, bytes of text for each of a row's cells, some eleven cells an anchor, and cells of a shard at most.
+ROWS, CELL_BYTES, SHARD_CELLS = 2, 8, 1 << 26
 
 _CHUNK = "chunk long, ids array<long>, begin array<long>, body binary"
-_ASK1 = "chunk long, shard int, keys binary, twice binary"
+_ASK1 = "chunk long, shard int, cells binary, twice binary"
 _ASK2 = "chunk long, shard int, keys binary, more binary, twice binary"
 _ANSWER = "chunk long, shard int, bits binary"
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
@@ -50,7 +58,7 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 def _chunks(id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for k, (rows, piece) in enumerate(pieces(batches, text_col)):
+        for k, (rows, piece) in enumerate(pieces(batches, text_col, CHUNK_BYTES)):
             yield _batch(_CHUNK, [(TaskContext.get().partitionId() << 32 | k, rows.column(id_col).to_pylist(), piece.begin, press.compress(piece.buf.tobytes()))])
 
     return run
@@ -122,58 +130,66 @@ class _Keys:
 class _Chunk:
     """Windows of a chunk, and their keys in either pass."""
 
-    def __init__(self, row: dict, width: int, shards: int):
-        self.piece, self.width, self.shards = _opened(row), width, shards
+    def __init__(self, row: dict, width: int, shards: int, log_cells: int):
+        self.piece, self.width, self.shards, self.log_cells = _opened(row), width, shards, log_cells
         self.words = words(self.piece, "space")
         self.start, _ = starts_of(self.words.first, width)
         if len(self.start):
             anchors, self.which = _anchors(self.words, self.start, width, min(RUN, width))
         else:
             anchors, self.which = np.zeros(0, np.uint64), self.start
-        self.first = _Keys(anchors, None, shards)
+        self.sketch = [_Keys(mix(anchors ^ np.uint64(0x9E3779B97F4A7C15 * (2 * r + 1) % 2**64)) >> np.uint64(64 - log_cells) << np.uint64(64 - log_cells), None, shards) for r in range(ROWS)]
+
+    def asks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By row and shard the cells that this chunk's sketch fills, ascending, and whether a cell has more than one."""
+        for r, k in enumerate(self.sketch):
+            for s, own in k.slices():
+                yield r * self.shards + s, k.keys[own] >> np.uint64(64 - self.log_cells), k.twice[own]
+
+    def repeated(self, answers: list[dict]) -> np.ndarray:
+        """For each anchor whether the least of its cells is above one."""
+        said = np.ones(len(self.sketch[0].back), bool)
+        for r, k in enumerate(self.sketch):
+            said &= k.answered([{"shard": a["shard"] - r * self.shards, "bits": a["bits"]} for a in answers or [] if a["shard"] // self.shards == r])
+        return said
 
     def candidates(self, answers: list[dict]) -> tuple[np.ndarray, _Keys]:
         """Starts of the windows to count exactly, and their keys."""
-        start = self.start[self.first.answered(answers)[self.which]] if len(self.start) else self.start
+        start = self.start[self.repeated(answers)[self.which]] if len(self.start) else self.start
         h = self.words.hash
         one = spans(h, self.width)[start] if len(start) else np.zeros(0, np.uint64)
         two = (spans(h, self.width, AGAIN)[start] & np.uint64(0xFFFFFFFF)).astype(np.uint32) if len(start) else np.zeros(0, np.uint32)
         return start, _Keys(one, two, self.shards)
 
 
-def _ask_anchors(width: int, shards: int):
+def _ask_anchors(width: int, shards: int, log_cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            k = _Chunk(row, width, shards).first
-            yield _batch(_ASK1, [(row["chunk"], s, (k.keys[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), np.packbits(k.twice[own]).tobytes()) for s, own in k.slices()])
+            asks = _Chunk(row, width, shards, log_cells).asks()
+            yield _batch(_ASK1, [(row["chunk"], s, pack(np.diff(cells, prepend=np.uint64(0))), np.packbits(twice).tobytes()) for s, cells, twice in asks])
 
     return run
 
 
 def _sketch_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the chunks' sketches of this shard; two count-min rows."""
-    asks = [(r["chunk"], r["shard"], np.frombuffer(r["keys"], np.uint32), r["twice"]) for r in _rows(batches)]
-    total = sum(len(k) for _, _, k, _ in asks)
-    size = np.uint32((1 << max(10, (4 * total).bit_length())) - 1)
-    places = lambda k: (k & size, (mix(k.astype(np.uint64) + np.uint64(1)) >> np.uint64(20)).astype(np.uint32) & size)
-    counts = np.zeros((2, int(size) + 1), np.uint8)
-    for _, _, k, twice in asks:
-        more = np.unpackbits(np.frombuffer(twice, np.uint8), count=len(k)) + np.uint8(1)
-        for row, place in zip(counts, places(k), strict=True):
-            # Keys of a chunk differ but may share a place; 2 stands for 2 and more.
-            order = np.argsort(place, kind="stable")
-            spot, own = place[order], more[order].astype(np.int64)
-            at = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1]]))
-            row[spot[at]] = np.minimum(2, row[spot[at]] + np.add.reduceat(own, at))
-    for chunk, shard, k, _ in asks:
-        a, b = places(k)
-        yield _batch(_ANSWER, [(chunk, shard, np.packbits(np.minimum(counts[0][a], counts[1][b]) > 1).tobytes())])
-
-
-def _ask_windows(width: int, shards: int):
+    """Add up the chunks' cells of this shard; 2 stands for 2 and more."""
+    asks = [(r["chunk"], r["shard"], np.cumsum(unpack(r["cells"], np.uint64)), r["twice"]) for r in _rows(batches)]
+    if not asks:
+        return
+    least, most = min(c[0] for _, _, c, _ in asks), max(c[-1] for _, _, c, _ in asks)
+    counts = np.zeros(int(most - least) + 1, np.uint8)
+    for _, _, cells, twice in asks:
+        # A chunk has each of its cells once.
+        at = (cells - least).astype(np.int64)
+        counts[at] = np.minimum(2, counts[at] + np.unpackbits(np.frombuffer(twice, np.uint8), count=len(cells)) + np.uint8(1))
+    for chunk, shard, cells, _ in asks:
+        yield _batch(_ANSWER, [(chunk, shard, np.packbits(counts[(cells - least).astype(np.int64)] > 1).tobytes())])
+
+
+def _ask_windows(width: int, shards: int, log_cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            _, k = _Chunk(row, width, shards).candidates(row["said"])
+            _, k = _Chunk(row, width, shards, log_cells).candidates(row["said"])
             yield _batch(_ASK2, [(row["chunk"], s, k.keys[own].tobytes(), k.more[own].tobytes(), np.packbits(k.twice[own]).tobytes()) for s, own in k.slices()])
 
     return run
@@ -197,12 +213,12 @@ def _exact_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _batch(_ANSWER, [(c, s, np.packbits(bits).tobytes())])
 
 
-def _kept(width: int, shards: int):
+def _kept(width: int, shards: int, log_cells: int):
     schema = "id long, n_words long, n_removed long, kept_text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            c = _Chunk(row, width, shards)
+            c = _Chunk(row, width, shards, log_cells)
             start, k = c.candidates(row["said"])
             start = start[k.answered(row["exact"])] if len(start) else start
             w, buf = c.words, c.piece.buf
@@ -240,18 +256,21 @@ def remove_repeated(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id"
     or repeated ids are documents like any other. Other columns aren't looked at.
     """
     spark = docs.sparkSession
-    shards = parallelism(spark)
     chunks = stage(docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(_chunks(id_col, text_col), _CHUNK), "chunks")
 
-    def gathered(asks: DataFrame, answer, name: str) -> DataFrame:
-        answers = asks.repartitionById(shards, F.col("shard")).mapInArrow(answer, _ANSWER)
+    size = chunks.agg(F.sum(F.element_at("begin", -1))).first()[0] or 0
+    log_cells = max(10, (size // CELL_BYTES).bit_length())
+    shards = max(parallelism(spark), (1 << log_cells) // SHARD_CELLS)
+
+    def gathered(asks: DataFrame, answer, name: str, parts: int) -> DataFrame:
+        answers = asks.repartitionById(parts, F.col("shard")).mapInArrow(answer, _ANSWER)
         return stage(answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "bits")).alias(name)), name)
 
-    said = gathered(chunks.select("chunk", "begin", "body").mapInArrow(_ask_anchors(width, shards), _ASK1), _sketch_answers, "said")
+    said = gathered(chunks.select("chunk", "begin", "body").mapInArrow(_ask_anchors(width, shards, log_cells), _ASK1), _sketch_answers, "said", ROWS * shards)
     # One way at every size: were small answers broadcast, the exchange of chunks would only begin with larger inputs.
     judged = chunks.join(said.hint("merge"), "chunk", "left")
-    exact = gathered(judged.select("chunk", "begin", "body", "said").mapInArrow(_ask_windows(width, shards), _ASK2), _exact_answers, "exact")
-    run, schema = _kept(width, shards)
+    exact = gathered(judged.select("chunk", "begin", "body", "said").mapInArrow(_ask_windows(width, shards, log_cells), _ASK2), _exact_answers, "exact", shards)
+    run, schema = _kept(width, shards, log_cells)
     return judged.join(exact.hint("merge"), "chunk", "left").mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
