@@ -114,6 +114,20 @@ def test_exact_duplicates(spark, docs, odd, empty):
     assert exact_duplicates(empty).collect() == []
 
 
+def test_ids_that_are_no_numbers(spark):
+    """Text ids give what numbers of the same order give."""
+    own = [(i, t) for i, t in DOCS[:45]]
+    name = lambda i: None if i is None else f"d-{i:03d}"
+    both = [table(spark, [*own, (None, "one two three")]), spark.createDataFrame([(name(i), t, "s") for i, t in [*own, (None, "one two three")]], "doc_id string, text string, source string").repartition(2)]
+    bench = spark.createDataFrame([(1, DOCS[3][1])], "item_id long, text string")
+    for run, columns, ids in (
+        (exact_duplicates, ("doc_id", "keep_id", "group_size"), 2), (jj.near_duplicates, ("doc_id", "component_id", "n_shingles"), 2), (lambda d: dc.decontaminate(d, bench), ("doc_id", "n_hit"), 1),
+        (sd.remove_repeated, ("doc_id", "n_removed"), 1), (lambda d: tc.count_tokens(d, ["text"]), ("doc_id", "section", "n_tokens"), 1), (lambda d: sh.shard(d, 3), ("doc_id", "size"), 1), (mx.mix, ("doc_id", "size"), 1),
+    ):
+        want = sorted(((*map(name, r[:ids]), *r[ids:]) for r in rows(run(both[0]), *columns)), key=repr)
+        assert rows(run(both[1]), *columns) == want
+
+
 def test_runs_merge_in_blocks(spark, monkeypatch):
     """Many partitions, blocks of three rows, a digest in a third of all rows."""
     from tidemill.llm import exact_dedup as ed

@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.ids import any_id
 from tidemill.llm.packing import pack, unpack
 from tidemill.llm.textkernel import piece_of, pieces, words
 from tidemill.staging import stage
@@ -284,6 +285,7 @@ def _merged(spans: str) -> F.Column:
 
 
 
+@any_id()
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20) -> DataFrame:
     """One row for each document: id, n_words, n_hit, n_items, items_sha256, contaminated.
 

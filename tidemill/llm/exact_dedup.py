@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.ids import any_id
 from tidemill.staging import parallelism, stage
 
 #: Runs that meet in a merge, and rows of a block.
@@ -187,6 +188,7 @@ def _rounds(spark: SparkSession) -> int:
     return n
 
 
+@any_id("keep_id")
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``.
 

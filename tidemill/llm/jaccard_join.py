@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.ids import any_id
 from tidemill.llm.packing import pack, unpack
 from tidemill.llm.shingles import Sets, shingle_sets
 from tidemill.llm.textkernel import mix, pieces
@@ -515,6 +516,7 @@ class _Join:
         return label
 
 
+@any_id("component_id")
 def near_duplicates(docs: DataFrame, share: int = SHARE, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id.
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.llm.ids import any_id
 from tidemill.staging import stage
 
 #: Fractions in a block, on average.
@@ -77,6 +78,7 @@ def _keyed(rows: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("key", F.when(alone, F.xxhash64(F.lit(seed), "id")).otherwise(F.xxhash64(F.lit(seed), F.lit("row"), "row"))).drop("again")
 
 
+@any_id()
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each row of ``docs``: id, size, source_size, target, copies, taken.
 

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.llm.ids import any_id
 from tidemill.staging import parallelism, stage
 
 #: Groups in a block, on average.
@@ -96,6 +97,7 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
     return placed.select("h1", "h2", "size", "unknown", F.col("part").alias("shard"))
 
 
+@any_id()
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, size, text_crc32, law, shard, slot, grown_shard.
 

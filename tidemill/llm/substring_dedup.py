@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.ids import any_id
 from tidemill.llm.packing import pack, unpack
 from tidemill.llm.textkernel import AGAIN, Piece, Words, mix, pieces, spans, starts_of, table, words
 from tidemill.staging import parallelism, stage
@@ -244,6 +245,7 @@ def _kept(width: int, shards: int, log_cells: int):
     return run, schema
 
 
+@any_id()
 def remove_repeated(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_words, n_removed, kept_text.
 

@@ -17,6 +17,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.ids import any_id
+
 #: The vocabulary of the query: a file of base64 tokens and ranks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How text is cut before pairs are merged; fixed by the public byte-level vocabularies.
@@ -108,6 +110,7 @@ def _counted(batch: pa.RecordBatch, encoding: tiktoken.Encoding, lengths: np.nda
     )
 
 
+@any_id()
 def count_tokens(docs: DataFrame, fields: list[str], vocabulary: str = VOCABULARY, rule: str = "majority", id_col: str = "doc_id") -> DataFrame:
     """One row for each section of each document: id, field, section, begin, end, n_tokens, n_crossing.
 
