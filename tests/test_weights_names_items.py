@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import items, names
 from tidemill.operators.weights import apply_weights
 
+# The survey, its weights and what comes of them.
 ROWS = [(0, None, 25, "male", "high school"), (1, 60000.0, 30, "female", "bachelor"), (2, 75000.0, 35, "male", None), (3, 80000.0, 40, "female", "bachelor"), (4, 90000.0, 45, "male", "phd"), (5, 100000.0, 50, "female", "master")]
 WEIGHTS = {"gender": {"male": 0.8, "female": 1.2}, "education": {"high school": 1.5, "bachelor": 1.0, "master": 0.8, "phd": 0.7}}
 

@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Unit words and vulgar fractions.
-UNITS = (
-    "cup cups tbsp tablespoon tablespoons tsp teaspoon teaspoons oz ounce ounces g gram grams kg kilogram kilograms ml milliliter milliliters l liter liters "
-    "lb lbs pound pounds pinch pinches dash dashes quart quarts qt qts pint pints slice slices clove cloves can cans package packages "
-    "inch inches cm centimeter centimeters mm millimeter millimeters meter meters stick sticks bunch bunches sprig sprigs piece pieces handful handfuls drop drops sheet sheets"
-).split()
+UNITS = [
+    "cup", "cups", "tbsp", "tablespoon", "tablespoons", "tsp", "teaspoon", "teaspoons", "oz", "ounce", "ounces", "g", "gram", "grams", "kg",
+    "kilogram", "kilograms", "ml", "milliliter", "milliliters", "l", "liter", "liters", "lb", "lbs", "pound", "pounds", "pinch", "pinches", "dash",
+    "dashes", "quart", "quarts", "qt", "qts", "pint", "pints", "slice", "slices", "clove", "cloves", "can", "cans", "package", "packages", "inch",
+    "inches", "cm", "centimeter", "centimeters", "mm", "millimeter", "millimeters", "meter", "meters", "stick", "sticks", "bunch", "bunches", "sprig",
+    "sprigs", "piece", "pieces", "handful", "handfuls", "drop", "drops", "sheet", "sheets",
+]
 FRACTIONS = "¼½¾⅐⅑⅒⅓⅔⅕⅖⅗⅘⅙⅚⅛⅜⅝⅞"
 
 WORD, WHITE, DIGIT = r"[\p{L}\p{N}_]", r"[\s\x1c-\x1f\x85\p{Z}]", r"\p{Nd}"
 
 
 def _amounts() -> list[str]:
-    """Amounts: mixed and plain fractions, ranges, vulgar fractions, each on its own or glued to a word."""
+    """Amounts: mixed and plain fractions, ranges, vulgar fractions, each on its own or glued to a word.
+
+    The eight kinds and their order are fixed: each is taken out before the next is looked for.
+    """
     number, gap = f"{DIGIT}+", f"{WHITE}*"
     over = f"{number}{gap}/{gap}{number}"
     alone, glued = f"(?!{WORD})", f"(?={WORD})"

@@ -195,6 +195,7 @@ def parse_reply(text: str) -> tuple[float, str] | None:
         found = json.loads(first_object(text) or fenced)
         return min(1.0, max(0.0, float(found["p"]))), str(found.get("reason", "")).strip()
     except (ValueError, TypeError, KeyError, AttributeError):
+        # The pattern and the phrase.
         number = re.search(r"(?<!\d)(?:0(?:\.\d+)?|1(?:\.0+)?)(?!\d)", text)
         return (float(number[0]), "LLM parsing fallback") if number else None
 
