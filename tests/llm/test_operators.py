@@ -207,6 +207,37 @@ def test_near_duplicates_of_a_large_family(spark):
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(docs), key=repr)
 
 
+def test_similar_documents_are_not_found_by_every_shard(spark, monkeypatch):
+    """Copies, near copies, and documents somewhat alike share blocks in most shards: rows of the join are bounded all the same."""
+    r = random.Random(11)
+    docs = []
+    for edits in (3, 18):
+        for _ in range(30):
+            base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+            for _ in range(5):
+                own = list(base)
+                for _ in range(r.randint(1, edits)):
+                    own[r.randrange(200)] = f"n{r.randrange(10**6)}"
+                docs += [" ".join(own)] * r.randint(1, 3)
+    docs = list(enumerate(docs))
+    made, stage = [], jj.stage
+    monkeypatch.setattr(jj, "stage", lambda df, label: made.append(stage(df, label)) or (found.append(made[-1].count()) if label == "found" else None) or made[-1])
+    for shards in (4, 32):
+        found = []
+        with jj.setting(spark, "spark.sql.shuffle.partitions", str(shards)):
+            got = rows(jj.near_duplicates(table(spark, docs)), "doc_id", "n_shingles", "component_id")
+        assert got == sorted(brute.components(docs), key=repr)
+        assert len(found) == 1 and found[0] < 2 * len(docs), (shards, found)
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """A copy of one text of an id keeps the links of its other text, and rows stay as many as they were."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    docs = [(-1, b), (0, a), (1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, "alone")]
+    got = jj.near_duplicates(table(spark, docs))
+    assert rows(got, "doc_id", "n_shingles", "component_id") == sorted([(-1, 56, -1), (0, 56, -1), (1, 56, -1), (1, 56, -1), (2, 57, -1), (3, 57, -1), (4, 1, 4)], key=repr)
+
+
 def test_substrings(spark, docs, odd, empty):
     for width in (35, 3):
         want = sorted(brute.without_repeats(DOCS, width), key=repr)

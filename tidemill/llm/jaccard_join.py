@@ -19,10 +19,17 @@ The counts may be too large; that changes which blocks are sent, never what is
 found.
 
 Documents with equal sets, which 128 bits tell, are one node: the one with the
-smallest id stands for the others from the join on. Candidates are held against
-each other's sizes and sketches, and what is left against the sets themselves.
-Blocks with few documents give all their pairs. Blocks with more give pairs with
-a pivot. After those are settled, only pairs across components are still open.
+smallest id stands for the others and alone sends blocks. Candidates are held
+against each other's sizes and sketches, and what is left against the sets
+themselves.
+
+Similar documents share many blocks, so each shard of the join would find the
+same pair again. Therefore documents that have one of their few least hashes in
+common are tried before the join: all pairs of few, and of more the first with
+each. What is linked gets its component as a label. Documents send it along, and
+the hashes of which all pairs were tried; only pairs that have neither in common
+are still open, and with others the join has nothing to do. Blocks with few
+documents give all their open pairs. Blocks with more give those with a pivot.
 Such blocks with the same smallest id have mostly the same members, so they are
 taken together as a group: a member's sketch is sent to the group once, not once
 for each pair. There members are held against each other by their sketches, in
@@ -64,8 +71,15 @@ COUNTERS, SLICES = 1 << 22, 64
 #: Bits of a signature beside its shard, bytes of text that a shard stands for at most, and those that are shingled at once to be sent.
 KEY_BITS, SHARD_BYTES, SENT_BYTES = 40, 1 << 28, 1 << 20
 
-_ASK = "shard int, ids binary, sizes binary, keys binary, owners binary"
-_SKETCH = "id long, n long, x long, y long, sketch binary"
+#: Least hashes of a set by which it is tried before the join: sets that are linked have one in common but in 0.4 % of cases.
+LEADS = 4
+#: Columns of documents of which something is known before the join: component, and least hashes of which all pairs were tried.
+LABEL, TRIED = "label of the node", [f"tried by hash {k}" for k in range(LEADS)]
+#: Documents of a larger block up to which its open pairs are counted; they are sent where they are fewer than its documents.
+COUNTED_RUN = 32
+
+_ASK = "shard int, ids binary, labels binary, tried binary, sizes binary, keys binary, owners binary"
+_SKETCH = "id long, n long, x long, y long, sketch binary, least array<long>"
 _FOUND = "large boolean, a long, b long"
 
 
@@ -158,13 +172,18 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _slices(held[k][None, :], np.zeros(1, np.int64)).set_column(0, "slice", pa.array([k], pa.int32()))
 
 
-def _send(shards: int, share: int, width: int, id_col: str, text_col: str, classes):
-    """Signatures by shard: KEY_BITS of each, ascending, and which of the documents beside them it is of."""
+def _send(shards: int, share: int, width: int, id_col: str, text_col: str, classes, told=None):
+    """Signatures by shard: KEY_BITS of each, ascending, and which of the documents beside them it is of.
+
+    Rows have LABEL and TRIED, or else those that ``told`` lets through are left to where it is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, piece in pieces(batches, text_col, SENT_BYTES):
+        for rows, piece in pieces(_asked(batches, id_col, told, without=True), text_col, SENT_BYTES):
             sets = shingle_sets(piece, width)
             ids, sizes = rows.column(id_col).to_numpy(), sets.sizes()
+            labels = ids if told else rows.column(LABEL).to_numpy()
+            tried = np.zeros((len(ids), LEADS), np.int64) if told else np.stack([rows.column(c).to_numpy() for c in TRIED], axis=1)
             owner, sig = _blocks(sets, share, classes.value)
             shard = ((sig >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
             keys = mix(sig) >> np.uint64(64 - KEY_BITS)
@@ -175,36 +194,44 @@ def _send(shards: int, share: int, width: int, id_col: str, text_col: str, class
             for s in np.flatnonzero(np.diff(cut)):
                 own = slice(cut[s], cut[s + 1])
                 docs, which = np.unique(owner[own], return_inverse=True)
-                out.append((int(s), pack(np.diff(ids[docs], prepend=0)), pack(sizes[docs].astype(np.uint32)), pack(np.diff(keys[own], prepend=np.uint64(0))), pack(which.astype(np.uint16))))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int32()), *(pa.array(list(c), pa.binary()) for c in cols[1:])], ["shard", "ids", "sizes", "keys", "owners"])
+                out.append((int(s), pack(np.diff(ids[docs], prepend=0)), pack(ids[docs] - labels[docs]), pack(tried[docs].ravel()), pack(sizes[docs].astype(np.uint32)), pack(np.diff(keys[own], prepend=np.uint64(0))), pack(which.astype(np.uint16))))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int32()), *(pa.array(list(c), pa.binary()) for c in cols[1:])], ["shard", "ids", "labels", "tried", "sizes", "keys", "owners"])
 
     return run
 
 
 def _join(share: int):
-    """Of a shard: candidate pairs (a < b), and of large runs (smallest id, id)."""
+    """Of a shard: open candidate pairs (a < b), and of large runs with many of them (smallest id, id)."""
 
-    def pairs(i: np.ndarray, j: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        fits = (100 * np.minimum(sizes[i], sizes[j]) >= share * np.maximum(sizes[i], sizes[j])) & (ids[i] != ids[j])
+    def pairs(i: np.ndarray, j: np.ndarray, ids: np.ndarray, labels: np.ndarray, tried: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        fits = (100 * np.minimum(sizes[i], sizes[j]) >= share * np.maximum(sizes[i], sizes[j])) & (labels[i] != labels[j])
         i, j = i[fits], j[fits]
+        some = np.flatnonzero(tried[i].any(axis=1) & tried[j].any(axis=1))
+        if len(some):
+            one, two = tried[i[some]], tried[j[some]]
+            fits = np.ones(len(i), bool)
+            fits[some] = ~((one[:, :, None] == two[:, None, :]) & (one != 0)[:, :, None]).any(axis=(1, 2))
+            i, j = i[fits], j[fits]
         return np.where(ids[i] < ids[j], i * len(ids) + j, j * len(ids) + i)
 
     def batch(large: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), large)), pa.array(a), pa.array(b)], ["large", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, keys, refs, base = [], [], [], [], 0
+        ids, labels, tried, sizes, keys, refs, base = [], [], [], [], [], [], 0
         for rows in batches:
             for r in rows.to_pylist():
                 ids.append(np.cumsum(unpack(r["ids"], np.int64)))
+                labels.append(ids[-1] - unpack(r["labels"], np.int64))
+                tried.append(unpack(r["tried"], np.int64).reshape(-1, LEADS))
                 sizes.append(unpack(r["sizes"], np.uint32).astype(np.int64))
                 keys.append(np.cumsum(unpack(r["keys"], np.uint64)))
                 refs.append(unpack(r["owners"], np.uint16).astype(np.int64) + base)
                 base += len(ids[-1])
         if not ids:
             return
-        ids, sizes, keys, refs = map(np.concatenate, (ids, sizes, keys, refs))
+        ids, labels, tried, sizes, keys, refs = map(np.concatenate, (ids, labels, tried, sizes, keys, refs))
         order = np.argsort(keys)
         keys, refs = keys[order], refs[order]
         begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -215,15 +242,22 @@ def _join(share: int):
             i, j = np.triu_indices(r, 1)
             for part in np.array_split(at, max(1, len(at) * len(i) // (1 << 20))):
                 members = refs[part[:, None] + np.arange(r)]
-                got.append(np.unique(pairs(members[:, i].ravel(), members[:, j].ravel(), ids, sizes)))
+                got.append(np.unique(pairs(members[:, i].ravel(), members[:, j].ravel(), ids, labels, tried, sizes)))
         groups: dict[int, list[np.ndarray]] = {}
         for k in np.flatnonzero(length > SMALL_RUN):
             members = refs[begin[k] : begin[k] + length[k]]
+            if (labels[members] == labels[members[0]]).all():
+                continue
+            if len(members) <= COUNTED_RUN:
+                i, j = np.triu_indices(len(members), 1)
+                if len(few := pairs(members[i], members[j], ids, labels, tried, sizes)) < len(members):
+                    got.append(few)
+                    continue
             members = members[np.lexsort((ids[members], sizes[members]))]
             n, at = sizes[members], 0
             while at < len(members):
                 upto = int(np.searchsorted(n, n[at] * 100 // share, side="right"))
-                got.append(pairs(np.full(upto - at - 1, members[at]), members[at + 1 : upto], ids, sizes))
+                got.append(pairs(np.full(upto - at - 1, members[at]), members[at + 1 : upto], ids, labels, tried, sizes))
                 at = max(upto, at + 1)
             own = ids[members]
             groups.setdefault(int(own.min()), []).append(own)
@@ -238,7 +272,7 @@ def _join(share: int):
 
 
 def _sketch(width: int, id_col: str, text_col: str):
-    """id, n, 128 bits of the set, and a parity sketch of n to 2n bits, a power of two and 64 at least."""
+    """id, n, 128 bits of the set, a parity sketch of n to 2n bits, a power of two and 64 at least, and the LEADS least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, piece in pieces(batches, text_col):
@@ -255,7 +289,11 @@ def _sketch(width: int, id_col: str, text_col: str):
             for salt in (0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets.hash ^ np.uint64(salt)))])
                 marks.append(pa.array((total[sets.first[1:]] - total[sets.first[:-1]]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column(id_col), pa.array(n, pa.int64()), *marks, pa.array(cells, pa.binary())], ["id", "n", "x", "y", "sketch"])
+            few = np.minimum(n, LEADS)
+            upto = np.concatenate([[0], np.cumsum(few)])
+            least = sets.hash[np.arange(upto[-1]) + np.repeat(sets.first[:-1] - upto[:-1], few)].view(np.int64)
+            least = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(least))
+            yield pa.RecordBatch.from_arrays([rows.column(id_col), pa.array(n, pa.int64()), *marks, pa.array(cells, pa.binary()), least], ["id", "n", "x", "y", "sketch", "least"])
 
     return run
 
@@ -361,15 +399,15 @@ def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray, cost: np.ndarray) -
     return np.array(tree, np.int64)
 
 
-def _asked(batches: Iterator[pa.RecordBatch], id_col: str, bits) -> Iterator[pa.RecordBatch]:
-    """Rows whose id may be among those asked for: all that are, and few others."""
+def _asked(batches: Iterator[pa.RecordBatch], id_col: str, bits, without: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows whose id may be among those asked for: all that are, and few others; or all rows without these."""
     for batch in batches:
         if bits is not None:
             ids, keep = batch.column(id_col).to_numpy(), np.ones(batch.num_rows, bool)
             for k in (0, 1):
                 word, bit = _spot(ids, k)
                 keep &= (bits.value[word] >> bit & np.uint64(1)).astype(bool)
-            batch = batch.filter(pa.array(keep))
+            batch = batch.filter(pa.array(keep != without))
         yield batch
 
 
@@ -417,15 +455,17 @@ class _Join:
         self.cols = (id_col, text_col)
         self.docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).where(F.col(id_col).isNotNull())
         self.sketches = stage(self.docs.mapInArrow(_sketch(width, *self.cols), _SKETCH), "sketches")
-        self.copies = self.equal()
+        self.copies, self.equals = self.equal()
 
-    def equal(self) -> DataFrame:
-        """(node, rep) of documents whose set one with a smaller id has."""
+    def equal(self) -> tuple[DataFrame, DataFrame]:
+        """(node, rep) of documents whose set one with a smaller id has; and of ids that have other sets besides, which stay nodes."""
         key = ["n", "x", "y"]
         some = self.sketches.where("n > 0").select("id", *key)
         # Written, so that the join has an exchange of its own, which may be split where one set is very frequent.
         reps = stage(some.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep != last").select(*key, "rep"), "reps")
-        return stage(some.join(reps, key).where("id != rep").select(F.col("id").alias("node"), "rep").distinct(), "copies")
+        same = stage(some.join(reps, key).where("id != rep").select(F.col("id").alias("node"), "rep").distinct(), "same")
+        several = stage(some.distinct().groupBy(F.col("id").alias("node")).count().where("count > 1").select("node"), "several")
+        return same.join(several, "node", "left_anti"), same.join(several, "node", "left_semi")
 
     def named(self, df: DataFrame, *columns: str) -> DataFrame:
         """Ids in these columns as those of the documents that stand for them."""
@@ -449,19 +489,51 @@ class _Join:
         shingles = self.sketches.agg(F.sum("n")).first()[0] or 0
         return max(parallelism(self.spark), -(-8 * shingles // SHARD_BYTES))
 
-    def candidates(self) -> tuple[DataFrame, DataFrame]:
-        """(a, b, h) that sizes and sketches allow; (group, id) of larger runs."""
-        shards, classes = self.shards(), self.commonness()
-        asks = self.docs.mapInArrow(_send(shards, self.share, self.width, *self.cols, classes), _ASK)
-        found = stage(asks.repartitionById(shards, F.col("shard")).mapInArrow(_join(self.share), _FOUND), "found")
-        classes.unpersist()
-        pairs = self.named(found.where("NOT large").select("a", "b").distinct(), "a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    def leads(self) -> tuple[DataFrame, DataFrame]:
+        """(a, b, h) with one of their least hashes in common that sizes and sketches allow; (id, tried) with the hashes all of whose pairs these are."""
+        some = self.sketches.join(self.copies.select(F.col("node").alias("id")), "id", "left_anti").select("id", F.explode("least").alias("hash"))
+        runs = stage(some.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count("*").alias("members")).where("a != last").select("hash", "a", "members"), "runs")
+        led = stage(some.join(runs, "hash").select("id", "hash", "a", (F.col("members") <= SMALL_RUN).alias("small")), "led")
+        ids = led.where("small").groupBy("hash").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+        every = ids.select(F.explode(F.expr("flatten(transform(ids, (x, k) -> transform(slice(ids, k + 2, size(ids)), y -> struct(x AS a, y AS b))))")).alias("pair")).select("pair.*")
+        near = self.near(every.unionByName(led.where("NOT small AND id != a").select("a", F.col("id").alias("b"))).distinct())
+        # Zero stands for none.
+        tried = stage(led.where("small AND hash != 0").groupBy("id").agg(F.slice(F.collect_set("hash"), 1, LEADS).alias("tried")), "hashes")
+        release(runs, led)
+        return near, tried
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, h) of those pairs that sizes and sketches allow."""
         side = lambda k: self.sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+        near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {self.share} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
         near = near.mapInArrow(_hamming(self.share), "a long, b long, h long")
-        near = stage(near.groupBy("a", "b").agg(F.min("h").alias("h")), "near")
-        large = stage(self.named(found.where("large").select(F.col("a").alias("group"), F.col("b").alias("id")).distinct(), "id").select("group", "id").distinct(), "groups")
-        release(found)
+        return stage(near.groupBy("a", "b").agg(F.min("h").alias("h")), "near")
+
+    def asks(self, shards: int, classes, told: DataFrame, held) -> DataFrame:
+        """What documents send: those that nothing is told about where they are read, the few others with their labels."""
+        id_col = self.cols[0]
+        send = lambda held: _send(shards, self.share, self.width, *self.cols, classes, held)
+        some = self.docs.mapInArrow(lambda batches: _asked(batches, id_col, held), self.docs.schema)
+        some = some.join(told, F.col(f"`{id_col}`") == F.col("told id"), "left").where("copy IS NULL OR NOT copy")
+        known = [F.coalesce(F.get("tried", F.lit(k)), F.lit(0).cast("long")).alias(c) for k, c in enumerate(TRIED)]
+        some = some.select(*(F.col(f"`{c}`") for c in self.cols), F.coalesce(LABEL, F.col(f"`{id_col}`")).alias(LABEL), *known)
+        return self.docs.mapInArrow(send(held), _ASK).unionByName(some.mapInArrow(send(None), _ASK))
+
+    def candidates(self, label: DataFrame, tried: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Open (a, b, h) that sizes and sketches allow; (group, id) of larger runs."""
+        shards, classes = self.shards(), self.commonness()
+        none = F.lit(None)
+        copies = self.copies.select(F.col("node").alias("told id"), none.cast("long").alias(LABEL), none.cast("array<long>").alias("tried"), F.lit(True).alias("copy"))
+        named = label.where("node != component").select(F.col("node").alias("told id"), F.col("component").alias(LABEL), none.cast("array<long>").alias("tried"), F.lit(False).alias("copy"))
+        told = copies.unionByName(named).unionByName(tried.select(F.col("id").alias("told id"), none.cast("long").alias(LABEL), "tried", F.lit(False).alias("copy")))
+        told = stage(told.groupBy("told id").agg(F.max(LABEL).alias(LABEL), F.max("tried").alias("tried"), F.max("copy").alias("copy")), "told")
+        held = self.filter_of(told.select(F.col("told id").alias("id")))
+        found = stage(self.asks(shards, classes, told, held).repartitionById(shards, F.col("shard")).mapInArrow(_join(self.share), _FOUND), "found")
+        classes.unpersist()
+        held.unpersist()
+        near = self.near(found.where("NOT large").select("a", "b").distinct())
+        large = stage(found.where("large").select(F.col("a").alias("group"), F.col("b").alias("id")).distinct(), "groups")
+        release(found, told)
         return near, large
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -499,10 +571,11 @@ class _Join:
 
     def components(self) -> DataFrame:
         """(node, component) of documents that stand for others and have links."""
-        near, large = self.candidates()
-        tried = stage(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
-        links = self.verified(tried)
+        tried, hashes = self.leads()
+        tried = tried.select("a", "b")
+        links = stage(self.verified(tried).unionByName(self.equals.toDF("b", "a")), "links")
         label = stage(connected_components(links.toDF("src", "dst")), "labels")
+        near, large = self.candidates(label, hashes)
         for nearest in (True, False):
             still = self.across(near, label).unionByName(self.tiles(large, label, nearest))
             if nearest:
