@@ -207,11 +207,13 @@ def _join(share: int):
     def pairs(i: np.ndarray, j: np.ndarray, ids: np.ndarray, labels: np.ndarray, tried: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         fits = (100 * np.minimum(sizes[i], sizes[j]) >= share * np.maximum(sizes[i], sizes[j])) & (labels[i] != labels[j])
         i, j = i[fits], j[fits]
-        some = np.flatnonzero(tried[i].any(axis=1) & tried[j].any(axis=1))
+        some = np.flatnonzero(tried[i, 0].astype(bool) & tried[j, 0].astype(bool))  # hashes come first, zeros after
         if len(some):
-            one, two = tried[i[some]], tried[j[some]]
             fits = np.ones(len(i), bool)
-            fits[some] = ~((one[:, :, None] == two[:, None, :]) & (one != 0)[:, :, None]).any(axis=(1, 2))
+            for k in range(LEADS):
+                one = tried[i[some], k]
+                for m in range(LEADS):
+                    fits[some] &= (one != tried[j[some], m]) | (one == 0)
             i, j = i[fits], j[fits]
         return np.where(ids[i] < ids[j], i * len(ids) + j, j * len(ids) + i)
 
@@ -240,7 +242,7 @@ def _join(share: int):
         for r in range(2, SMALL_RUN + 1):
             at = begin[length == r]
             i, j = np.triu_indices(r, 1)
-            for part in np.array_split(at, max(1, len(at) * len(i) // (1 << 20))):
+            for part in np.array_split(at, max(1, len(at) * len(i) // (1 << 18))):
                 members = refs[part[:, None] + np.arange(r)]
                 got.append(np.unique(pairs(members[:, i].ravel(), members[:, j].ravel(), ids, labels, tried, sizes)))
         groups: dict[int, list[np.ndarray]] = {}
@@ -514,7 +516,8 @@ class _Join:
         id_col = self.cols[0]
         send = lambda held: _send(shards, self.share, self.width, *self.cols, classes, held)
         some = self.docs.mapInArrow(lambda batches: _asked(batches, id_col, held), self.docs.schema)
-        some = some.join(told, F.col(f"`{id_col}`") == F.col("told id"), "left").where("copy IS NULL OR NOT copy")
+        # Texts stay unsorted, and the plan is the same for every size.
+        some = some.join(told.hint("shuffle_hash"), F.col(f"`{id_col}`") == F.col("told id"), "left").where("copy IS NULL OR NOT copy")
         known = [F.coalesce(F.get("tried", F.lit(k)), F.lit(0).cast("long")).alias(c) for k, c in enumerate(TRIED)]
         some = some.select(*(F.col(f"`{c}`") for c in self.cols), F.coalesce(LABEL, F.col(f"`{id_col}`")).alias(LABEL), *known)
         return self.docs.mapInArrow(send(held), _ASK).unionByName(some.mapInArrow(send(None), _ASK))
